@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seamline.llm import fusion, lookalikes, mixing, tokenizer
+from seamline.llm import credentials, fusion, handwritten, lookalikes, mixing, neighbors, tokenizer
 from seamline.session import Stage, ship
 from seamline.sources.tables import table
 
@@ -31,6 +31,44 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+@query("p1_found")
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return handwritten.classify_files(table(spark, sf, "chunks")).filter(F.col("kind") != "handwritten").select("file_path").distinct()
+
+
+@query("p1_sources")
+def p1_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """Every file of the last scan with its kind; files without chunks are judged by their path."""
+    files = table(spark, sf, "merkle_nodes").filter(F.col("node_type") == "file").select("cwd", F.col("node_path").alias("file_path")).distinct()
+    kinds = handwritten.classify_files(table(spark, sf, "chunks"))
+    by_path = handwritten.path_kind(F.col("file_path"), F.coalesce("cwd", F.lit("")))
+    return files.join(kinds, ["cwd", "file_path"], "left").select("cwd", "file_path", F.coalesce("kind", by_path, F.lit("handwritten")).alias("kind"))
+
+
+@query("p3_found")
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return credentials.find_credentials(table(spark, sf, "chunks")).select("id", "line_no").distinct()
+
+
+@query("p3_redacted")
+def p3_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    return credentials.redact_credentials(table(spark, sf, "chunks").select("id", "file_path", "content"))
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = neighbors.similar_vectors(table(spark, sf, "memory_items"), "id", "embedding", 64, k=10, least=0.85)
+    return neighbors.similar_pairs(found).select("id_a", "id_b")
+
+
+@query("p4_nearest")
+def p4_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten most similar of every vector whose id is divisible by 20, among all vectors: every cell is looked into."""
+    vectors = table(spark, sf, "embeddings")
+    found = neighbors.similar_vectors(vectors, "vec_id", "embedding", 64, k=10, probes=neighbors.MOST_PIVOTS, queries=vectors.filter(F.col("vec_id") % 20 == 0).select("vec_id"))
+    return found.select(F.col("id").alias("vec_id"), F.col("other").alias("other_id"), F.round("similarity", 4).alias("similarity"))
+
+
 SCORES = ["similarity", "lex_score", "rrf_score", "rerank_score"]
 
 _RRF = """
