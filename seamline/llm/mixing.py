@@ -19,8 +19,8 @@ def source_key(col: Column) -> Column:
 
 
 def sized_documents(docs: DataFrame, name: str = "byte_bpe_50k", folder: str = VOCABULARIES) -> DataFrame:
-    """(doc_id, source, n_tokens) of the documents, repeated rows once; a null or blank source stays null."""
-    sized = encode_corpus(docs.withColumn("_id", F.struct("doc_id", F.nullif(source_key(F.col("source")), F.lit("")).alias("source"))), "_id", "text", name, folder, counts_only=True)
+    """(doc_id, source, n_tokens) of the documents, repeated rows once; a null or blank source stays null; rows without an id are left out."""
+    sized = encode_corpus(docs.filter(F.col("doc_id").isNotNull()).withColumn("_id", F.struct("doc_id", F.nullif(source_key(F.col("source")), F.lit("")).alias("source"))), "_id", "text", name, folder, counts_only=True)
     return sized.groupBy("_id").agg(F.max("n_tokens").alias("n_tokens")).select("_id.doc_id", "_id.source", "n_tokens")
 
 
