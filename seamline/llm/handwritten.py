@@ -150,7 +150,7 @@ def file_facts(chunks: DataFrame) -> DataFrame:
 
 
 def line_index(chunks: DataFrame) -> DataFrame:
-    """(cwd, file_path, line_hash): the distinct lines of each file that carry some text, white space evened out.
+    """(cwd, file_path, line_hash): the lines of each file that carry some text, white space evened out; a line may come more than once.
 
     Lines of fewer than 12 characters or 8 letters and digits say nothing about origin and are left out.
     """
@@ -160,42 +160,44 @@ def line_index(chunks: DataFrame) -> DataFrame:
         .withColumn("line", F.trim(F.regexp_replace("line", r"\s+", " ")))
         .filter((F.length("line") >= 12) & (F.length(F.regexp_replace("line", r"[^\p{L}\p{N}]", "")) >= 8))
         .select("cwd", "file_path", F.xxhash64("line").alias("line_hash"))
-        .distinct()
     )
 
 
-def copies(index: DataFrame, contained: float = CONTAINED, least_lines: int = LEAST_LINES, stage: Stage | None = None) -> DataFrame:
+def _numbered(df: DataFrame) -> DataFrame:
+    """With numbers for codebase and file: two 64-bit hashes name a file in 16 bytes."""
+    return df.withColumn("c", F.xxhash64("cwd")).withColumn("f", F.xxhash64("file_path"))
+
+
+def copies(index: DataFrame, contained: float = CONTAINED, least_lines: int = LEAST_LINES, stage: Stage | None = None, files: DataFrame | None = None) -> DataFrame:
     """(cwd, file_path, other_cwd, other_path, share): files of which a file of another codebase holds `contained` of the lines.
 
     Exact, whatever the number of copies. Lines known to one codebase only can't be shared: they are counted and dropped, and with
-    them all files that have too many of them. Common lines are looked up only for files that have no rarer ones left.
+    them all files that have too many of them. Common lines are looked up only for files that have no rarer ones left. `files` (cwd, file_path)
+    names the files of the index; without it they are taken from the index.
     """
     stage = stage or Stage(index.sparkSession, "copies")
-    index = stage.write(index)
-    spread = index.groupBy("line_hash").agg(F.count(F.lit(1)).alias("n_files"), F.min("cwd").alias("lo"), F.max("cwd").alias("hi")).filter(F.col("lo") != F.col("hi"))
-    sizes = index.groupBy("cwd", "file_path").agg(F.count(F.lit(1)).alias("n"))
-    shared = index.join(spread.select("line_hash", "n_files"), "line_hash")
-    files = (
-        shared.groupBy("cwd", "file_path").agg(F.count(F.lit(1)).alias("n_shared")).join(sizes, ["cwd", "file_path"])
-        .filter((F.col("n") >= least_lines) & (F.col("n_shared") >= F.ceil(F.lit(contained) * F.col("n"))))
-    )
+    names = _numbered((index if files is None else files).select("cwd", "file_path").distinct())
+    rows = stage.write(_numbered(index).select("c", "f", "line_hash").distinct())
+    spread = rows.groupBy("line_hash").agg(F.count(F.lit(1)).alias("n_files"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter(F.col("lo") != F.col("hi"))
+    sizes = rows.groupBy("c", "f").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_lines)
+    shared = stage.write(rows.join(spread.select("line_hash", "n_files"), "line_hash"))
+    likely = shared.groupBy("c", "f").agg(F.count(F.lit(1)).alias("n_shared")).join(sizes, ["c", "f"]).filter(F.col("n_shared") >= F.ceil(F.lit(contained) * F.col("n")))
     # The files left, each with its shared lines from rare to common. Those of its own count as the rarest.
-    order = Window.partitionBy("cwd", "file_path").orderBy("n_files", "line_hash")
-    own = stage.write(shared.join(files, ["cwd", "file_path"]).withColumn("place", F.row_number().over(order) + F.col("n") - F.col("n_shared")))
+    order = Window.partitionBy("c", "f").orderBy("n_files", "line_hash")
+    own = stage.write(shared.join(likely, ["c", "f"]).withColumn("place", F.row_number().over(order) + F.col("n") - F.col("n_shared")))
     probes = own.filter(F.col("place") <= F.col("n") - F.ceil(F.lit(contained) * F.col("n")) + 1)
-    holders = shared.select("line_hash", F.col("cwd").alias("other_cwd"), F.col("file_path").alias("other_path"))
-    candidates = stage.write(
-        probes.select("cwd", "file_path", "line_hash").join(holders, "line_hash").filter(F.col("cwd") != F.col("other_cwd")).select("cwd", "file_path", "other_cwd", "other_path").distinct()
-    )
-    return (
-        candidates.join(own.select("cwd", "file_path", "line_hash", "n"), ["cwd", "file_path"])
-        .join(holders, ["other_cwd", "other_path", "line_hash"])
-        .groupBy("cwd", "file_path", "other_cwd", "other_path")
+    holders = shared.select("line_hash", F.col("c").alias("c2"), F.col("f").alias("f2"))
+    candidates = stage.write(probes.select("c", "f", "line_hash").join(holders, "line_hash").filter(F.col("c") != F.col("c2")).select("c", "f", "c2", "f2").distinct())
+    found = (
+        candidates.join(own.select("c", "f", "line_hash", "n"), ["c", "f"])
+        .join(holders, ["c2", "f2", "line_hash"])
+        .groupBy("c", "f", "c2", "f2")
         .agg(F.count(F.lit(1)).alias("both"), F.max("n").alias("n"))
         .withColumn("share", F.col("both") / F.col("n"))
         .filter(F.col("both") >= F.ceil(F.lit(contained) * F.col("n")))
-        .select("cwd", "file_path", "other_cwd", "other_path", "share")
     )
+    others = names.select(F.col("c").alias("c2"), F.col("f").alias("f2"), F.col("cwd").alias("other_cwd"), F.col("file_path").alias("other_path"))
+    return found.join(names, ["c", "f"]).join(others, ["c2", "f2"]).select("cwd", "file_path", "other_cwd", "other_path", "share")
 
 
 def classify_files(chunks: DataFrame) -> DataFrame:
@@ -211,7 +213,7 @@ def classify_files(chunks: DataFrame) -> DataFrame:
         "cwd", "file_path", "dated",
         ((F.coalesce("by_path", F.lit("")) == "vendored") | (F.coalesce("by_opening", F.lit("")) == "vendored")).alias("vendored"),
     )
-    pairs = copies(line_index(chunks), stage=stage)
+    pairs = copies(line_index(chunks), stage=stage, files=facts)
     mine = known.select("cwd", "file_path", F.col("dated").alias("own_date"))
     other = known.select(F.col("cwd").alias("other_cwd"), F.col("file_path").alias("other_path"), F.col("dated").alias("other_date"), "vendored")
     early, never = F.coalesce("other_date", F.lit("9999-12-31").cast("timestamp")), F.coalesce("own_date", F.lit("9999-12-31").cast("timestamp"))
