@@ -65,8 +65,8 @@ _WORD = re.compile(r"[^\W\d_]+|\d+")
 _CAMEL = re.compile(r"(?<=[a-z0-9à-ÿ])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
 _LITERAL = r"""(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`]*`)"""
 _QUOTED = re.compile(rf"(?:[bruf]{{1,2}})?({_LITERAL})", re.I)
-_BIND = re.compile(r"""(?P<name>[^\W\d][\w.\-]*)(?:\\?["'`])?\s{0,4}\]?[ \t]*(?P<sep>:=|=>|->|\|\||\?\?|=(?!=)|:(?![=/:])-?)[ \t]*""")
-_PAIR = re.compile(rf"(?P<call>[\w.]+)\s{{0,4}}[=:]?\s{{0,4}}[(\[]\s*(?P<a>{_LITERAL}|[\w@.-]+)\s*,\s*(?P<b>{_LITERAL}|[^\s,\])\"'`]+)\s*[)\],]")
+_BIND = re.compile(r"""(?<!\w)(?P<name>[^\W\d][\w.]*+(?:-[\w.]++)*+)(?:\\?["'`])?\s{0,4}\]?[ \t]*(?P<sep>:=|=>|->|\|\||\?\?|=(?!=)|:(?![=/:])-?)[ \t]*""")
+_PAIR = re.compile(rf"(?<![\w.])(?P<call>[\w.]++)\s{{0,4}}[=:]?\s{{0,4}}[(\[]\s*(?P<a>{_LITERAL}|[\w@.-]+)\s*,\s*(?P<b>{_LITERAL}|[^\s,\])\"'`]+)\s*[)\],]")
 _LOGIN = re.compile(r"log_?in|sign_?in|auth(?:enticate|orize)?|(?:set_?)?basic_?auth|credentials?|userpass", re.I)
 _FLAG = re.compile(r"""(?<![\w-])--?(?P<name>[A-Za-z][\w-]*?)(?:=|[ \t]+)(?P<q>\\?["'])?(?P<value>[^\s"'`]+)(?(q)(?P=q))""")
 _USER = re.compile(r"""(?<![\w-])(?:-u|--user)(?:=|[ \t]+)["']?[\w.@-]+:(?P<value>[^\s"'`]+)""")
