@@ -13,8 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
+from seamline.operators.prefix import running_totals
 from seamline.session import Stage
 
 #: Pivots: at least so many, about so many times the root of the number of vectors, at most so many (a documented sample).
@@ -32,14 +35,24 @@ def rotation(dim: int, seed: int = SEED) -> np.ndarray:
 
 def unit_vectors(df: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
     """(id, vec) of the usable vectors at unit length; null, zero, otherwise long or not finite ones are left out. Repeated rows count once."""
-    v = F.transform(vec_col, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return (
-        df.select(F.col(id_col).alias("id"), v.alias("v"), norm.alias("n"))
-        .filter((F.size("v") == dim) & F.col("id").isNotNull() & ~F.exists("v", lambda x: x.isNull()) & (F.col("n") > 0) & (F.col("n") < float("inf")) & ~F.isnan("n"))
-        .select("id", F.transform("v", lambda x: (x / F.col("n")).cast("float")).alias("vec"))
-        .dropDuplicates(["id"])
-    )
+
+    def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = batch.column(1)
+            fit = pc.and_(pc.fill_null(pc.equal(pc.list_value_length(vectors), dim), False), pc.is_valid(batch.column(0)))
+            ids, vectors = batch.column(0).filter(fit), vectors.filter(fit)
+            flat = vectors.flatten()
+            x = flat.fill_null(float("nan")).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+            with np.errstate(over="ignore", invalid="ignore"):
+                norms = np.linalg.norm(x, axis=1)
+            good = np.isfinite(norms) & (norms > 0)
+            unit = (x[good] / norms[good][:, None]).astype(np.float32)
+            values = pa.ListArray.from_arrays(pa.array(np.arange(0, unit.size + 1, dim), pa.int32()), pa.array(unit.ravel()))
+            yield pa.RecordBatch.from_arrays([ids.filter(pa.array(good)), values], names=["id", "vec"])
+
+    kind = dict(df.dtypes)[id_col]
+    source = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<float>").alias("v"))
+    return source.mapInArrow(scale, f"id {kind}, vec array<float>").dropDuplicates(["id"])
 
 
 def _matrix(s: pd.Series, dim: int) -> np.ndarray:
@@ -192,9 +205,11 @@ def similar_vectors(
     dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     exact = survivors.join(a, "key").join(b, "other").select("key", "other", F.least(F.greatest(dot, F.lit(-1.0)), F.lit(1.0)).alias("similarity")).filter(F.col("similarity") >= least)
     nearest = exact.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.col("similarity").desc(), "other"))).filter(F.col("r") <= k)
-    # Back to ids: equal vectors first, each with the next k of its ring, then the others' ids, cut at k.
-    ring = Window.partitionBy("key").orderBy("id")
-    numbered = stage.write(all_ids.select("key", "id").withColumn("r", F.row_number().over(ring)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))))
+    # Back to ids: equal vectors first, each with the next k of its ring, then the others' ids, cut at k. The places in a ring are
+    # running totals, so that vectors all equal to each other are not gathered in one task.
+    counts = all_ids.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    placed_ids = running_totals(all_ids.select("key", "id").withColumn("one", F.lit(1)), ["key"], ["id"], "one", stage)
+    numbered = stage.write(placed_ids.join(counts, "key").select("key", "id", "n", (F.col("before") + 1).alias("r")))
     twins = numbered.filter(F.col("n") > 1)
     step = twins.select("key", "id", "n", F.explode(F.sequence(F.lit(1), F.least(F.lit(k), F.col("n") - 1).cast("int"))).alias("s"), "r").withColumn("to", F.pmod(F.col("r") - 1 + F.col("s"), F.col("n")) + 1)
     equal = step.join(twins.select("key", F.col("id").alias("other"), F.col("r").alias("to")), ["key", "to"]).select("id", "other", F.lit(1.0).alias("similarity"))
