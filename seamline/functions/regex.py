@@ -175,6 +175,24 @@ def to_java(pattern: str) -> str:
     return out
 
 
+def required_literal(pattern: str) -> str:
+    """Text that every matching line must begin its match with, "" if none is sure: the plain characters before the first special one.
+
+    Alternatives and case folding make none sure; a character that may be repeated or left out doesn't count.
+    """
+    if re.search(r"\(\?[^:)]*i", pattern) or "|" in pattern:
+        return ""
+    out, r = "", _Reader(pattern)
+    while r.more():
+        c = r.take()
+        if c == "\\" and r.more() and not r.peek().isalnum() and ord(r.peek()) < 128:
+            c = r.take()
+        elif not (c.isalnum() or c in " _-/:;,=<>'\"!@#%&~`"):
+            return out[:-1] if c in "*?{" else out
+        out += c
+    return out
+
+
 def quote_meta(text: str) -> str:
     """The text with RE2's special characters escaped."""
     return re.sub(r"([\\.+*?()|\[\]{}^$])", r"\\\1", text)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from seamline.functions.regex import SearchOption, to_java
+from seamline.functions.regex import SearchOption, required_literal, to_java
 from seamline.functions.text import has_extension
 
 
@@ -35,14 +35,15 @@ def matches(option: SearchOption, line: Column) -> Column:
 def grep(df: DataFrame, key: list[str], option: SearchOption, text: str = "text", path: str | None = None, invert: bool = False) -> DataFrame:
     """(key..., line_no, line) of the lines that match, one row per line; with `invert` of those that don't.
 
-    A literal must not be empty. For a literal without a line break, texts that don't hold it anywhere are not split.
+    A literal must not be empty. Texts that don't hold the literal, or the one a regular expression must begin with, are not split into lines.
     """
     if not option.regex and not option.text:
         raise ValueError("an empty literal matches nothing in particular")
     if path and option.extensions:
         df = df.filter(has_extension(F.col(path), option.extensions))
-    if not option.regex and not invert:
-        df = df.filter(F.contains(F.col(text), F.lit(option.text)))
+    sure = required_literal(option.text) if option.regex else option.text
+    if sure and not invert:
+        df = df.filter(F.contains(F.col(text), F.lit(sure)))
     hit = matches(option, F.col("line"))
     return lines(df, key, text).filter(~hit if invert else hit)
 

@@ -175,3 +175,27 @@ def compact(index: DataFrame, active: DataFrame, key: str = "id") -> DataFrame:
 def footprint(index: DataFrame) -> DataFrame:
     """(n_vectors, code_bytes) of an index."""
     return index.agg(F.count(F.lit(1)).alias("n_vectors"), F.coalesce(F.sum(F.length("codes") + 4), F.lit(0)).alias("code_bytes"))
+
+
+def serialize(index: DataFrame) -> DataFrame:
+    """(id, data): norm as a little-endian float32, then the packed codes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            norms = pdf["norm"].to_numpy(np.dtype("<f4"))
+            yield pd.DataFrame({"id": pdf["id"], "data": [n.tobytes() + bytes(c) for n, c in zip(norms, pdf["codes"])]})
+
+    return index.select("id", "norm", "codes").mapInPandas(run, f"id {dict(index.dtypes)['id']}, data binary")
+
+
+def deserialize(df: DataFrame, dim: int, bits: int) -> DataFrame:
+    """(id, norm, codes) of (id, data). Records of another length than the dimension and width ask for are refused."""
+    size = 4 + -(-dim * bits // 8)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if any(len(d) != size for d in pdf["data"]):
+                raise ValueError(f"a record must have {size} bytes")
+            yield pd.DataFrame({"id": pdf["id"], "norm": [float(np.frombuffer(d, "<f4", 1)[0]) for d in pdf["data"]], "codes": [bytes(d[4:]) for d in pdf["data"]]})
+
+    return df.select("id", "data").mapInPandas(run, f"id {dict(df.dtypes)['id']}, norm float, codes binary")

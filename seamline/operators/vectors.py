@@ -106,9 +106,20 @@ def to_ints(v: Column) -> Column:
 def bytes_to_floats(v: Column) -> Column:
     """Each byte of a binary as a number of 0 to 255."""
     digits = F.hex(v)
-    return F.transform(F.sequence(F.lit(0), F.length(v) - 1), lambda i: F.conv(F.substring(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("float"))
+    places = F.when(F.length(v) > 0, F.sequence(F.lit(0), F.length(v) - 1)).when(v.isNotNull(), F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.conv(F.substring(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("float"))
 
 
 def floats_to_bytes(v: Column) -> Column:
     """Rounded and clamped to 0 to 255."""
     return F.unhex(F.array_join(F.transform(v, lambda x: F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), F.round(x.cast("double")).cast("int")))), 2, "0")), ""))
+
+
+def text_to_floats(v: Column) -> Column:
+    """Each byte of a text as a number of 0 to 255."""
+    return bytes_to_floats(F.encode(v, "UTF-8"))
+
+
+def floats_to_text(v: Column) -> Column:
+    """The text whose bytes the rounded numbers are."""
+    return F.decode(floats_to_bytes(v), "UTF-8")

@@ -1,6 +1,6 @@
 import pytest
 
-from seamline.functions.regex import RegexError, SearchOption, quote_meta, route, to_java
+from seamline.functions.regex import RegexError, SearchOption, quote_meta, required_literal, route, to_java
 from seamline.operators.lines import grep
 
 #: Pattern, text and the numbers of the lines that match.
@@ -40,3 +40,8 @@ def test_routing():
     assert route("a|b").regex and route("foo(").text == "foo(" and not route("foo(").regex
     assert route("two w.rds").text == r"two|w\.rds" and route("two w.rds").regex
     assert quote_meta("a.b|c") == r"a\.b\|c"
+
+
+def test_required_literals():
+    want = {"func \\w+": "func ", "abc*d": "ab", "abc{0,2}": "ab", r"a\.b+": "a.b", "a|b": "", "(?i)abc": "", "^abc": "", "ab(c)?": "ab", r"\bab": "", "ab+": "ab", "x.y": "x", "(?:a|b)": "", "": ""}
+    assert {p: required_literal(p) for p in want} == want

@@ -138,3 +138,20 @@ def test_hybrid_scope(spark):
     assert ids(" ", e[1], 5, "/r") == ["m1"] and ids("zzz", e[3], 5) == []
     with pytest.raises(ValueError):
         search(memories, files, "x", e[0], 0)
+
+
+def test_records_and_arrays(spark, rows, tmp_path):
+    from seamline.sources.arrays import read_npy
+
+    q = qz.Quantizer(8, 3)
+    x = RNG.standard_normal((25, 8)).astype(np.float32)
+    index = q.quantize(table(spark, x))
+    assert rows(qz.deserialize(qz.serialize(index), 8, 3)) == rows(index)
+    with pytest.raises(Exception):  # noqa: B017
+        qz.deserialize(qz.serialize(index), 9, 4).collect()
+    np.save(f"{tmp_path}/x.npy", x)
+    got = {r.id: r.embedding for r in read_npy(spark, f"{tmp_path}/x.npy", 7).collect()}
+    assert len(got) == 25 and all(np.allclose(got[k], x[k]) for k in got)
+    text = spark.createDataFrame([("aé",), ("",), (None,)], "t string").select(vx.text_to_floats(F.col("t")).alias("v"))
+    assert [r.v for r in text.collect()] == [[97.0, 195.0, 169.0], [], None]
+    assert [r[0] for r in text.select(vx.floats_to_text(F.col("v"))).collect()] == ["aé", "", None]
