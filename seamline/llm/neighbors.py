@@ -2,7 +2,7 @@
 
 Vectors are scaled to unit length, equal ones collapsed, and each assigned to the nearest of a set of pivots drawn from the
 data (so that dense regions get as many pivots as they have vectors). Against its pivot, a vector's residual is
-rotated and kept as one bit per dimension with correction scalars: its length and its inner product with its own code. A
+padded to twice its dimension, rotated and kept as one bit per coordinate with correction scalars: its length and its inner product with its own code. A
 query looks into the cells of its nearest pivots, estimates the inner products from the packed bits, and the error bound of
 the estimate tells which candidates may still be among its best: only those are compared exactly.
 """
@@ -27,12 +27,17 @@ PROBES, EPSILON, BLOCK = 8, 3.0, 2048
 SEED = 42
 
 
-def rotation(dim: int, seed: int = SEED) -> np.ndarray:
-    """A random orthogonal matrix, the same for the same dimension and seed."""
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
+def rotation(dim: int, bits: int | None = None, seed: int = SEED) -> np.ndarray:
+    """A random matrix of `bits` (default `dim`) rows with orthonormal columns: it pads a vector with zeros and rotates it. The same for the same arguments."""
+    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((bits or dim, dim)))
     return (q * np.sign(np.diag(r))).astype(np.float32)
 
 
+def code_bits(dim: int) -> int:
+    """Bits of a code: twice the dimension, in whole words."""
+    return -(-2 * dim // 64) * 64
+
+
 def unit_vectors(df: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
     """(id, vec) of the usable vectors at unit length; null, zero, otherwise long or not finite ones are left out. Repeated rows count once."""
 
@@ -126,11 +131,11 @@ def similar_vectors(
     pivots = _matrix(entries.orderBy("key").limit(wanted).select("vec").toPandas()["vec"], dim)
     probes = min(probes, len(pivots))
     shared = spark.sparkContext.broadcast(pivots)
-    dim_ = dim
+    dim_, bits = dim, code_bits(dim)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """One row per vector for its home cell, with its code, and one per cell it looks into, with the rotated, rounded query and its product with the pivot."""
-        turn, cells = rotation(dim_), shared.value
+        turn, cells = rotation(dim_, bits), shared.value
         for pdf in batches:
             for at in range(0, len(pdf), 4096):
                 part = pdf.iloc[at : at + 4096]
@@ -140,7 +145,7 @@ def similar_vectors(
                 home = np.argmax(near, axis=1)
                 rest = (x - cells[home]) @ turn.T
                 length = np.linalg.norm(rest, axis=1)
-                own = np.abs(rest).sum(1) / np.sqrt(dim_) / np.maximum(length, 1e-12)
+                own = np.abs(rest).sum(1) / np.sqrt(bits) / np.maximum(length, 1e-12)
                 codes = pack(rest > 0)
                 yield pd.DataFrame({
                     "cell": home.astype(np.int32), "key": part["key"], "code": [c.tobytes() for c in codes], "own": np.where(length > 1e-6, own, 1.0).astype(np.float32),
@@ -182,7 +187,7 @@ def similar_vectors(
         own, length, keys = left["own"].to_numpy(), left["length"].to_numpy(), left["key"].to_numpy()
         for at in range(0, len(right), 512):
             part = right.iloc[at : at + 512]
-            levels = np.frombuffer(b"".join(part["levels"]), np.uint8).reshape(len(part), dim_)
+            levels = np.frombuffer(b"".join(part["levels"]), np.uint8).reshape(len(part), bits)
             # <q, v> = <q, pivot> + |v - pivot| <q, direction of the residual>
             est, slack = estimate(levels, part["low_"].to_numpy(), part["step_"].to_numpy(), codes, own, length)
             est = est + part["near"].to_numpy()[:, None]
