@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seamline.functions.text import base_name, parent
@@ -18,10 +22,35 @@ def chunk_hash(text: Column, start: Column | None = None, end: Column | None = N
     return F.sha2(body, 256)
 
 
+def _joined_hashes(df: DataFrame, group: str, order: list[str], piece: str, out: str) -> DataFrame:
+    """(group, out): the hash of each group's pieces joined in order. Sorted rows stream through one running hash, so a folder
+    or file of any size takes no more memory than a batch; a group is one task's work, as its hash is a chain."""
+    names = [group, out]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, done = None, None, ([], [])
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if state is None or key != now:
+                    if state is not None:
+                        done[0].append(now)
+                        done[1].append(state.hexdigest())
+                    now, state = key, hashlib.sha256()
+                state.update(text.encode())
+            if len(done[0]) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in done], names=names)
+                done = ([], [])
+        if state is not None:
+            done[0].append(now)
+            done[1].append(state.hexdigest())
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in done], names=names)
+
+    return df.repartition(F.col(group)).sortWithinPartitions(group, *order).select(group, piece).mapInArrow(run, f"{group} string, {out} string")
+
+
 def file_hashes(chunks: DataFrame, path: str, order: list[str], hash_col: str) -> DataFrame:
-    """(path, file_hash): the hash of a file's chunk hashes in order. A file's chunk hashes meet in one row; its texts don't."""
-    pieces = F.sort_array(F.collect_list(F.struct(*order, F.col(hash_col).alias("_h"))))
-    return chunks.groupBy(path).agg(F.sha2(F.array_join(F.transform(pieces, lambda p: p["_h"]), ""), 256).alias("file_hash"))
+    """(path, file_hash): the hash of a file's chunk hashes in order."""
+    return _joined_hashes(chunks.filter(F.col(path).isNotNull()).select(path, *order, hash_col), path, order, hash_col, "file_hash")
 
 
 def folder_hashes(files: DataFrame, roots: DataFrame | None = None) -> DataFrame:
@@ -39,12 +68,8 @@ def folder_hashes(files: DataFrame, roots: DataFrame | None = None) -> DataFrame
     below = nodes.filter(F.col("level") == deepest).select("node_path", "node_hash")
     made = None
     for level in range(deepest - 1, 1, -1):
-        pieces = F.sort_array(F.collect_list(F.struct(base_name(F.col("node_path")).alias("name"), F.col("node_hash").alias("h"))))
-        folders = (
-            below.groupBy(parent(F.col("node_path")).alias("node_path"))
-            .agg(F.sha2(F.array_join(F.transform(pieces, lambda p: F.concat(p["name"], p["h"])), ""), 256).alias("node_hash"))
-            .filter(F.col("node_path").isNotNull())
-        )
+        named = below.select(parent(F.col("node_path")).alias("node_path"), base_name(F.col("node_path")).alias("name"), "node_hash").filter(F.col("node_path").isNotNull())
+        folders = _joined_hashes(named.withColumn("piece", F.concat("name", "node_hash")), "node_path", ["name"], "piece", "node_hash")
         if roots is not None:
             folders = folders.join(F.broadcast(roots), F.col("node_path").eqNullSafe(F.col("root")) | F.startswith("node_path", F.concat("root", F.lit("/"))), "left_semi")
         folders = stage.write(folders)

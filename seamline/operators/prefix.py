@@ -32,3 +32,8 @@ def running_totals(df: DataFrame, group: list[str], order: list, size: str, stag
         .withColumn("before", F.col("_start") + F.col("_own"))
         .drop("_part", "_p", "_start", "_own", *[f"_g{i}" for i in range(len(group))])
     )
+
+
+def row_numbers(df: DataFrame, group: list[str], order: list, name: str = "rank", stage: Stage | None = None) -> DataFrame:
+    """`df` with `name`: 1, 2, 3, ... along `order`, which must be total, within each group of any size."""
+    return running_totals(df.withColumn("_one", F.lit(1)), group, order, "_one", stage).withColumn(name, (F.col("before") + 1).cast("bigint")).drop("_one", "before")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from seamline.functions import text as tx
 from seamline.functions.regex import SearchOption, route
 from seamline.operators import callgraph, chunkers, evaluation, hierarchy, hybrid, incremental, lines, merkle, quantizer, references, vectors
+from seamline.operators.prefix import row_numbers
 from seamline.session import Stage, ship
 from seamline.sources.tables import table
 from seamline.streaming.sync import event_windows
@@ -443,8 +444,8 @@ def rrf_hybrid(spark: SparkSession, sf: str) -> DataFrame:
     rows = Stage(spark, "candidates").write(table(spark, sf, "search_candidates").groupBy("query_id", "id").agg(best("similarity").alias("a"), best("lex_score").alias("b")))
 
     def ranks(c: str) -> DataFrame:
-        order = Window.partitionBy("query_id").orderBy(F.col(c).desc(), "id")
-        return rows.filter(F.col(c).isNotNull()).select(F.struct("query_id", "id").alias("id"), F.row_number().over(order).alias("rank"))
+        numbered = row_numbers(rows.filter(F.col(c).isNotNull()), ["query_id"], [F.col(c).desc(), F.col("id")])
+        return numbered.select(F.struct("query_id", "id").alias("id"), "rank")
 
     return hybrid.reciprocal_ranks(ranks("a"), ranks("b")).select("id.query_id", "id.id", F.round("rrf", 9).alias("rrf"))
 
@@ -471,10 +472,10 @@ def recall_mrr(spark: SparkSession, sf: str) -> DataFrame:
     def best(c: str) -> F.Column:
         return F.max(F.when(~F.isnan(c), F.col(c)))
 
-    rows = table(spark, sf, "search_candidates").groupBy("query_id", "id").agg(best("similarity").alias("a"), best("rerank_score").alias("b"))
+    rows = Stage(spark, "candidates").write(table(spark, sf, "search_candidates").groupBy("query_id", "id").agg(best("similarity").alias("a"), best("rerank_score").alias("b")))
 
     def ranks(c: str) -> DataFrame:
-        return rows.select("query_id", "id", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col(c).desc_nulls_last(), "id")).alias("rank"))
+        return row_numbers(rows.select("query_id", "id", c), ["query_id"], [F.col(c).desc_nulls_last(), F.col("id")]).select("query_id", "id", "rank")
 
     return evaluation.recall_and_mrr(ranks("a"), ranks("b").filter("rank = 1").select("query_id", "id"))
 

@@ -1,5 +1,11 @@
+import os
+import sys
+
 import pytest
 
+sys.path[:0] = [os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.path.dirname(os.path.abspath(__file__))]
+
+
 from seamline.session import make_session, ship
 
 

@@ -1,0 +1,20 @@
+import pytest
+from oracle import check, runs
+
+from seamline.plans.queries import ORACLE, QUERIES
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_query_equals_its_sql(spark, name):
+    check(spark, QUERIES[name], ORACLE[name])
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
+def test_query_runs(spark, name):
+    runs(spark, QUERIES[name])
+
+
+def test_entry(spark):
+    import __spark_entry__ as e
+
+    assert set(e.oracle_sql()) <= set(e.queries()) and e.entry(spark).count() > 0
