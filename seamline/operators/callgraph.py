@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from seamline.functions.golang import GoError, GoFile
-from seamline.operators.references import dotted_suffixes
+from seamline.operators.references import lengths_of, suffixes_of_lengths
 from seamline.session import Stage
 
 Node = tuple[str, int, int]
@@ -173,19 +173,10 @@ def find_node(nodes: DataFrame, name: str) -> DataFrame:
     return hit.orderBy((F.col("name") != name).cast("int"), "name", "file_path").limit(1)
 
 
-def name_suffixes(nodes: DataFrame, callees: DataFrame, strict: bool, scope: list[str]) -> DataFrame:
+def name_suffixes(nodes: DataFrame, callees: DataFrame, strict: bool) -> DataFrame:
     """Nodes under every name they can be called by: all suffixes, or with `strict` those after a dot. Only suffixes as long as some callee are made."""
-    if strict:
-        ends = dotted_suffixes(F.col("name"))
-        return nodes.withColumn("suffix", F.explode(ends))
-    longest = F.broadcast(callees.agg(F.coalesce(F.max(F.length("callee")), F.lit(0)).alias("_longest")))  # one row
-    return (
-        nodes.crossJoin(longest)
-        .filter((F.col("_longest") > 0) & (F.length("name") > 0))
-        .withColumn("_n", F.explode(F.sequence(F.lit(1), F.least(F.length("name"), F.col("_longest")))))
-        .withColumn("suffix", F.substring(F.col("name"), -F.col("_n"), F.col("_n")))
-        .drop("_n", "_longest")
-    )
+    sized = nodes.crossJoin(lengths_of("callee", callees))  # one row
+    return sized.withColumn("suffix", F.explode(suffixes_of_lengths(F.col("name"), F.col("_lengths"), strict))).drop("_lengths")
 
 
 def resolve(edges: DataFrame, nodes: DataFrame, strict: bool = False, scope: list[str] | None = None) -> DataFrame:
@@ -196,7 +187,7 @@ def resolve(edges: DataFrame, nodes: DataFrame, strict: bool = False, scope: lis
     """
     by = scope or []
     calls = edges.filter(F.length("callee") > 0).select(*by, "caller", "callee").distinct()
-    named = name_suffixes(nodes.select(*by, "name", "file_path", "start_line", "end_line").distinct(), calls.select("callee"), strict, by)
+    named = name_suffixes(nodes.select(*by, "name", "file_path", "start_line", "end_line").distinct(), calls.select("callee"), strict)
     return calls.join(named.withColumnRenamed("suffix", "callee"), [*by, "callee"]).select(*by, "caller", "callee", "name", "file_path", "start_line", "end_line").distinct()
 
 

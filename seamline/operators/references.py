@@ -29,32 +29,55 @@ def dotted_suffixes(col: Column) -> Column:
     )
 
 
-def parent_keys(nodes: DataFrame) -> DataFrame:
+#: Names of more characters get only the suffixes some reference is as long as: cutting all of them would square their size.
+LONG_NAME = 4096
+
+
+def suffixes_of_lengths(name: Column, lengths: Column, dotted: bool = True) -> Column:
+    """The suffixes of a name that have one of the given lengths; with `dotted` only the whole name and what follows a dot."""
+    size = F.length(name)
+    fits = F.filter(lengths, lambda n: (n > 0) & (n <= size))
+    if dotted:
+        fits = F.filter(fits, lambda n: (n == size) | (F.substring(name, -(n + 1), F.lit(1)) == "."))
+    return F.transform(fits, lambda n: F.substring(name, -n, n))
+
+
+def lengths_of(col: str, df: DataFrame) -> DataFrame:
+    """One row: `_lengths`, the distinct lengths of a column."""
+    return F.broadcast(df.select(F.length(col).alias("n")).distinct().agg(F.collect_set("n").alias("_lengths")))
+
+
+def parent_keys(nodes: DataFrame, refs: DataFrame) -> DataFrame:
     """(scope, key, alive_from, alive) of each name, suffixes included, under which a node can be referred to.
 
     alive_from is null where a node that is not deleted has no time of its own: it was there always.
     """
-    return (
-        nodes.filter(F.col("cwd").isNotNull() & F.col("symbol_name").isNotNull())
-        .select("cwd", "symbol_name", "indexed_at", F.col("deleted_at").isNull().alias("alive"))
+    named = nodes.filter(F.col("cwd").isNotNull() & F.col("symbol_name").isNotNull())
+    always = F.timestamp_micros(F.lit(-(2**55)))
+    parents = (
+        named.select("cwd", "symbol_name", "indexed_at", F.col("deleted_at").isNull().alias("alive"))
         .groupBy("cwd", "symbol_name")
-        .agg(
-            F.max("alive").alias("alive"),
-            F.min(F.when(F.col("alive"), F.coalesce("indexed_at", F.timestamp_micros(F.lit(-(2**55)))))).alias("alive_from"),
-        )
-        .select(F.col("cwd").alias("scope"), F.explode(dotted_suffixes(F.col("symbol_name"))).alias("key"), "alive", "alive_from")
-        .filter(F.col("key") != "")
+        .agg(F.max("alive").alias("alive"), F.min(F.when(F.col("alive"), F.coalesce("indexed_at", always))).alias("alive_from"))
     )
+    name, long = F.col("symbol_name"), F.length("symbol_name") > LONG_NAME
+    columns = [F.col("cwd").alias("scope"), "key", "alive", "alive_from"]
+    if named.filter(long).isEmpty():
+        keys = parents.withColumn("key", F.explode(dotted_suffixes(name))).select(*columns)
+    else:
+        short = parents.filter(~long).withColumn("key", F.explode(dotted_suffixes(name))).select(*columns)
+        cut = parents.filter(long).crossJoin(lengths_of("key", refs))  # one row
+        keys = short.unionByName(cut.withColumn("key", F.explode(suffixes_of_lengths(name, F.col("_lengths")))).select(*columns))
+    return keys.filter(F.col("key") != "")
 
 
 def orphan_groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(scope, key, known, alive, alive_from): the referred keys of which at least one reference may not resolve.
 
     `edges` has scope, key and at. Kept are the keys without a parent, with deleted parents only, and those whose
-    first living parent came after the earliest reference... to be exact, not before the first timed one.
+    first living parent came after the earliest reference with a time.
     """
-    tagged = parent_keys(nodes).select(
-        "scope", "key", F.lit(True).alias("is_parent"), "alive", "alive_from", F.lit(None).cast("timestamp_ntz").cast("timestamp").alias("at")
+    tagged = parent_keys(nodes, edges).select(
+        "scope", "key", F.lit(True).alias("is_parent"), "alive", "alive_from", F.lit(None).cast("timestamp").alias("at")
     )
     tagged = tagged.unionByName(
         edges.select(

@@ -414,6 +414,20 @@ def quantized_topk(spark: SparkSession, sf: str) -> DataFrame:
     return q.search(q.quantize(rows, "vec_id"), rows.filter("vec_id = 0").select("embedding").first()[0], 25)
 
 
+@query("quantized_recall")
+def quantized_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """(k, recall): how often the most similar other vector is among the first k by four-bit codes, for every vector whose id is divisible by 20."""
+    rows = table(spark, sf, "embeddings")
+    asked = rows.filter(F.col("vec_id") % 20 == 0).select("vec_id", "embedding")
+    q = quantizer.Quantizer(64, 4)
+    best = vectors.top_k_many(rows, asked, 1, "vec_id", exclude_self=True).select("query_id", "id")
+    coded = q.search_many(q.quantize(rows, "vec_id"), asked, 33).filter(F.col("query_id") != F.col("id"))
+    place = coded.select("query_id", "id", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")).alias("place"))
+    found = best.join(place, ["query_id", "id"], "left")
+    ks = F.explode(F.array(*[F.lit(k) for k in (1, 2, 4, 8, 16, 32)])).alias("k")
+    return found.select("place", ks).groupBy("k").agg(F.round(F.avg(F.when(F.col("place") <= F.col("k"), 1.0).otherwise(0.0)), 4).alias("recall"))
+
+
 @query("quantized_footprint", "SELECT count(*) AS n_vectors, (count(*) * 36)::BIGINT AS code_bytes FROM embeddings")
 def quantized_footprint(spark: SparkSession, sf: str) -> DataFrame:
     return quantizer.footprint(quantizer.Quantizer(64, 4).quantize(table(spark, sf, "embeddings"), "vec_id"))

@@ -29,6 +29,10 @@ def test_empty_and_long(spark, rows):
     assert rows(unresolved_references(spark.createDataFrame([], NODES), edges).select("edge_id", "ref_state")) == [(1, "missing")]
     nodes = spark.createDataFrame([("a", "m." + long, T1, None, 1)], NODES)
     assert unresolved_references(nodes, edges).count() == 0
+    dots = "a." * 30_000 + "end"
+    nodes = spark.createDataFrame([("a", dots, T1, None, 1), ("a", "q.r", T1, None, 1)], NODES)
+    edges = spark.createDataFrame([(1, "a", "a.a.end", T1, T1, True), (2, "a", "nd", T1, T1, True), (3, "a", dots, T1, T1, True), (4, "a", "r", T1, T1, True), (5, "a", "a.r", T1, T1, True)], EDGES)
+    assert rows(unresolved_references(nodes, edges).select("edge_id", "ref_state")) == [(2, "missing"), (5, "missing")]
 
 
 def test_hot_callee(spark):

@@ -100,6 +100,9 @@ def test_index_search(spark, rows, tmp_path):
     for bad in ((x[3], 0), (x[3][:5], 3)):
         with pytest.raises(ValueError):
             q.search(index, *bad)
+    many = q.search_many(index, table(spark, x[:9]), 2).collect()
+    assert len(many) == 18 and all(int(r.id) == r.query_id for r in many if r["rank"] == 1)
+    assert q.search_many(index, table(spark, x).limit(0), 2).count() == 0
     assert rows(qz.footprint(index)) == [(100, 3600)]
     assert qz.compact(index, only).count() == 2 and qz.delete_rows(index, only).count() == 98 and qz.replace_rows(index, index.limit(3)).count() == 100
     back = {int(r.id): r.embedding for r in q.dequantize(index).collect()}
