@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -54,6 +55,8 @@ FORMATS = r"""(?<![A-Za-z0-9])(?:A(?:KIA|SIA|ROA|IDA)[0-9A-Z]{16}|gh[opsur]_[A-Z
 |hf_[A-Za-z0-9]{30,}|dop_v1_[a-f0-9]{64}|shpat_[a-fA-F0-9]{32}|sq0[a-z]{3}-[A-Za-z0-9_-]{22,}|key-[0-9a-f]{32}|EAACEdEose0cBA[A-Za-z0-9]+|AGE-SECRET-KEY-1[0-9A-Z]{58}
 |eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,})(?![A-Za-z0-9])"""
 
+#: Characters of a key block at most, and of a line that are looked at to tell code from text.
+MOST_BLOCK, NEAR = 1 << 16, 4096
 _SECRET, _LIKELY, _ENCODED, _DUMMY = (frozenset(x.split()) for x in (SECRET, LIKELY, ENCODED, DUMMY))
 _DOCUMENTED = frozenset(DOCUMENTED.split())
 _SERVICE = re.compile(FORMATS.replace("\n", ""))
@@ -63,7 +66,7 @@ _BLOCK_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _BODY = re.compile(r"[A-Za-z0-9+/=]{20,}")
 _WORD = re.compile(r"[^\W\d_]+|\d+")
 _CAMEL = re.compile(r"(?<=[a-z0-9à-ÿ])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
-_LITERAL = r"""(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`]*`)"""
+_LITERAL = r"""(?:"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|`[^`]{0,65536}+`)"""
 _QUOTED = re.compile(rf"(?:[bruf]{{1,2}})?({_LITERAL})", re.I)
 _BIND = re.compile(r"""(?<!\w)(?P<name>[^\W\d][\w.]*+(?:-[\w.]++)*+)(?:\\?["'`])?\s{0,4}\]?[ \t]*(?P<sep>:=|=>|->|\|\||\?\?|=(?!=)|:(?![=/:])-?)[ \t]*""")
 _PAIR = re.compile(rf"(?<![\w.])(?P<call>[\w.]++)\s{{0,4}}[=:]?\s{{0,4}}[(\[]\s*(?P<a>{_LITERAL}|[\w@.-]+)\s*,\s*(?P<b>{_LITERAL}|[^\s,\])\"'`]+)\s*[)\],]")
@@ -142,15 +145,20 @@ class Finder:
         if not text:
             return []
         spans: dict[int, tuple[int, str]] = {}
+        covered = bytearray(len(text) + 1)
+        ticks = [m.start() for m in re.finditer("`", text)]
 
         def add(start: int, end: int, kind: str) -> None:
-            if not any(s <= start < e for s, (e, _) in spans.items()):
+            if not covered[start]:
                 spans[start] = (end, kind)
+                covered[start:end] = b"\1" * (end - start)
 
         settings = bool(_SETTINGS.search(path or ""))
-        for m in _BLOCK.finditer(text):
-            stop = _BLOCK_END.search(text, m.end())
-            end = stop.end() if stop else len(text)
+        blocks = list(_BLOCK.finditer(text))
+        for m, after in zip(blocks, [*(b.start() for b in blocks[1:]), len(text)]):
+            limit = min(after, m.end() + MOST_BLOCK)
+            stop = _BLOCK_END.search(text, m.end(), limit)
+            end = stop.end() if stop else limit
             if _BODY.search(text, m.end(), end):
                 add(m.start(), end, "private key")
         for m in _SERVICE.finditer(text):
@@ -164,7 +172,7 @@ class Finder:
                 add(*m.span("value"), "auth header")
         for m in _BIND.finditer(text):
             if strength := name_strength(m["name"]):
-                self._bound(text, m, strength, settings, add)
+                self._bound(text, m, strength, settings, ticks, add)
         for m in _PAIR.finditer(text):
             first, value = m["a"].strip("\"'`"), m["b"].strip("\"'`")
             literal = m["b"][0] in "\"'`"
@@ -209,7 +217,7 @@ class Finder:
             return bool(colon) and not is_reference(secret)
         return self.unnatural(value)
 
-    def _bound(self, text: str, m: re.Match, strength: int, settings: bool, add) -> None:
+    def _bound(self, text: str, m: re.Match, strength: int, settings: bool, ticks: list[int], add) -> None:
         """The value bound to a secret's name: a literal, several joined, or on a later line."""
         at = m.end()
         head = re.compile(r"""(?:\(|\[\]byte|\[\]string|\[\]?|strings\.Join|new\b|String\b|str\b|bytes\b|Buffer\.from|string\b|join\b|trimspace|chomp|""\s*,|\{|\\?\s*\n)[ \t]*""")
@@ -258,17 +266,18 @@ class Finder:
             return
         if settings and m["sep"][0] in ":=" and (strength == 2 and not re.fullmatch(r"[a-z]+(?:[-_ ][a-z]+)*|\d{1,4}", value) or self._likely(value)) or self.unnatural(value) and len(value) >= 8 and not re.fullmatch(r"[A-Za-z_][\w.]*", value):
             add(bare.start(), bare.end(), "value")
-        elif not settings and len(value) >= 8 and self.unnatural(value, strength == 2) and self._in_text(text, m.start()):
+        elif not settings and len(value) >= 8 and self.unnatural(value, strength == 2) and self._in_text(text, m.start(), ticks):
             add(bare.start(), bare.end(), "value")
 
     def _likely(self, value: str) -> bool:
         return bool(_STARTS.match(value)) or self.unnatural(value)
 
     @staticmethod
-    def _in_text(text: str, at: int) -> bool:
+    def _in_text(text: str, at: int, ticks: list[int]) -> bool:
         """Whether a place is in a comment, a string or a here-document rather than in code."""
-        line = text[text.rfind("\n", 0, at) + 1 : at]
-        return bool(re.search(r"(?:^|\s)(?:#|//|--|\*)", line)) or any(line.count(q) % 2 for q in "\"'`") or text.count("`", 0, at) % 2 == 1 or bool(re.match(r"\s*(?:export|set|SET)\s", line))
+        begin = max(0, at - NEAR)
+        line = text[max(begin, text.rfind("\n", begin, at) + 1) : at]
+        return bool(re.search(r"(?:^|\s)(?:#|//|--|\*)", line)) or any(line.count(q) % 2 for q in "\"'`") or bisect_left(ticks, at) % 2 == 1 or bool(re.match(r"\s*(?:export|set|SET)\s", line))
 
     def _line_value(self, text: str, at: int, strength: int, add) -> None:
         """The first line of text at or after a place."""

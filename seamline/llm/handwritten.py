@@ -33,8 +33,8 @@ MINIFIED_PATH = r"(?:[.-]min|\.bundle|\.chunk|\.packed)\.(?:js|mjs|cjs|css)$|-[0
 SETTINGS_PATH = r"\.(?:json|ini|env|netrc|pem|key|crt|cer|pub|properties|toml|conf|cfg|txt|md|lock)$|/\.?(?:netrc|env)$|/id_[^/.]+$"
 
 _COMMENT = re.compile(r"\s*(?:#|//|/\*|\*|--|;|<!--|%|\"\"\"|''')")
-_NEGATED = re.compile(r"\b(?:nothing|not|never|no|none|isn't|aren't|wasn't|without)\b[^.;]*\b(?:generated|vendored|copied|imported)\b|\b(?:generated|vendored)\b[^.;]*\bby hand\b", re.I)
-_WARNING = re.compile(r"\b(?:do not|don't|never|must not|should not|not to be)\b[^.]*\b(?:edit\w*|chang\w+|modif\w+|touch\w*)\b|\b(?:changes|edits|modifications)\b[^.]*\b(?:lost|overwritten|discarded|undone)\b|\bregenerat\w+\b|\bdo not edit\b", re.I)
+_NEGATED = re.compile(r"\b(?:nothing|not|never|no|none|isn't|aren't|wasn't|without)\b[^.;]{0,300}\b(?:generated|vendored|copied|imported)\b|\b(?:generated|vendored)\b[^.;]{0,300}\bby hand\b", re.I)
+_WARNING = re.compile(r"\b(?:do not|don't|never|must not|should not|not to be)\b[^.]{0,300}\b(?:edit\w*|chang\w+|modif\w+|touch\w*)\b|\b(?:changes|edits|modifications)\b[^.]{0,300}\b(?:lost|overwritten|discarded|undone)\b|\bregenerat\w+\b|\bdo not edit\b", re.I)
 _MADE = re.compile(
     r"\bcode generated\b.*\bdo not edit\b|^\W*@(?:\w+[-_])?(?:auto)?generated\b|^\W*(?:this (?:file|code|module) (?:is|was|has been) )?auto(?:matically)?[- ]?generated\b|^\W*(?://|#)line \d+ \"", re.I
 )

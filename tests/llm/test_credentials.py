@@ -68,3 +68,12 @@ def test_tables(spark):
     safe = redact_credentials(df)
     assert safe.columns == df.columns and safe.count() == 6 and safe.filter("content LIKE '%Zobibre%'").count() == 0
     assert find_credentials(df.limit(0)).count() == 0
+
+
+def test_long_odd_texts_take_linear_time(finder):
+    import time
+
+    for text, n in (("password = 'Zobibre-Mo-700'\n" * 20_000, 20_000), ("token=ab9Xq1%s " * 20_000, None), ("-----BEGIN RSA PRIVATE KEY-----\n" * 20_000, 0), ("x = `" * 50_001, 0), ('key = "' * 50_000, 0), ("a(" + " " * 300_000, 0), ("password " * 100_000, 0)):
+        began = time.time()
+        found = len(finder.find(text, "a.py"))
+        assert time.time() - began < 10 and n in (None, found)
