@@ -66,8 +66,9 @@ _BLOCK_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _BODY = re.compile(r"[A-Za-z0-9+/=]{20,}")
 _WORD = re.compile(r"[^\W\d_]+|\d+")
 _CAMEL = re.compile(r"(?<=[a-z0-9à-ÿ])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
-_LITERAL = r"""(?:"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|`[^`]{0,65536}+`)"""
+_LITERAL = r"""(?:"(?:[^"\\\n]|\\[\s\S])*+"|'(?:[^'\\\n]|\\[\s\S])*+'|`[^`]{0,65536}+`)"""
 _QUOTED = re.compile(rf"(?:[bruf]{{1,2}})?({_LITERAL})", re.I)
+_FOLDED = re.compile(r"\\\r?\n\s*")
 _BIND = re.compile(r"""(?<!\w)(?P<name>[^\W\d][\w.]*+(?:-[\w.]++)*+)(?:\\?["'`])?\s{0,4}\]?[ \t]*(?P<sep>:=|=>|->|\|\||\?\?|=(?!=)|:(?![=/:])-?)[ \t]*""")
 _PAIR = re.compile(rf"(?<![\w.])(?P<call>[\w.]++)\s{{0,4}}[=:]?\s{{0,4}}[(\[]\s*(?P<a>{_LITERAL}|[\w@.-]+)\s*,\s*(?P<b>{_LITERAL}|[^\s,\])\"'`]+)\s*[)\],]")
 _LOGIN = re.compile(r"log_?in|sign_?in|auth(?:enticate|orize)?|(?:set_?)?basic_?auth|credentials?|userpass", re.I)
@@ -245,7 +246,7 @@ class Finder:
             if first is None:
                 first = (q.start(1) + 1, q.start(1) + 1 + len(body))
             first = (first[0], q.end(1) - 1)
-            parts.append(body)
+            parts.append(_FOLDED.sub("", body))
             gap = re.compile(r"\s*(?:[+.&]|\.\.)\s*|[ \t]*\\?\s*\n\s*(?=[\"'`])|[ \t]+(?=[\"'])|\s*,\s*(?=[\"'])").match(text, q.end())
             joined = gap and (re.search(r"[+.&]", gap.group()) or opened or re.search(r"join\s*\(", text[m.end() : at], re.I) or not gap.group().strip())
             if not joined or len(parts) > 64:

@@ -13,7 +13,7 @@ FOUND = [
     ("const p = process.env.DB_PASSWORD || 'Jikimu#1366';", "a.js", [1]), ('dsn = "mysql://svc:Iufe9VOBRUVE36@h.invalid:4717/x"', "a.py", [1]), ('h = "Basic c3ZjX21hdHJpeDpnV3k5IUpBRkFCUk8yOA=="', "a.py", [1]), (f'auth = "Bearer {RANDOM}"', "a.py", [1]),
     ("# TODO rotate, password=kubrudru_pN5qo", "a.py", [1]), ("// old login: svc_a / bruduje_EQmAJ", "a.go", [1]), ("# works with pw nelihu_T9YoK on staging", "a.yml", [1]), ("password: >-\n  Henodru+9064\n", "a.yml", [2]),
     ('password = (\n    "2S7Zhai8ryzw0249RtEk5n8iQk2hWd"\n)', "a.py", [2]), ('key := strings.Join([]string{\n\t"lD2gAGaPmvyKTrRjiVjoQZxGcAvKDy",\n}, "")\nsigningKey := strings.Join([]string{\n\t"Sitratu-Si-133",\n}, "")', "a.go", [2, 5]),
-    ("const password =\n  'Jikimu#1366';", "a.js", [2]), ('signing_key = trimspace(<<EOT\nOD8WwMi8KVpI3uIvYSDt54JihjB700\nEOT\n)', "a.tf", [2]), ("machine h\n  login u\n  password cYFB%TREBIHE79", "/home/u/.netrc", [3]), (f"DB_PASSWORD={RANDOM}", "a.env", [1]),
+    ('x: 1\napiKey: "jtr95ydOnlXjyKHTJu3\\\n    kQ8zPl0aMbV7"\n', "a.yaml", [2]), ("const password =\n  'Jikimu#1366';", "a.js", [2]), ('signing_key = trimspace(<<EOT\nOD8WwMi8KVpI3uIvYSDt54JihjB700\nEOT\n)', "a.tf", [2]), ("machine h\n  login u\n  password cYFB%TREBIHE79", "/home/u/.netrc", [3]), (f"DB_PASSWORD={RANDOM}", "a.env", [1]),
     ('raw = \'{"user": "svc", "token": "SL9OQiFLBaiJzrAZGfWXwknek8rT"}\'', "a.py", [1]), ("run(`dbtool --user svc --password=Nimoha-Ka-656 dump`)", "a.js", [1]), ("run(`login -p 'Kavotre-Ra-521' host`)", "a.js", [1]), ("curl -u svc:Nimoha-Ka-656 https://h", "a.sh", [1]),
     ('password_b64 = "VG96dXNlPzc3MzE="', "a.py", [1]), ("pw: ${DB_PW:-Nimoha-Ka-656}", "a.yml", [1]), ('pass = "91d904711efa1b2e631881fa8fc6cc2a"', "a.py", [1]), ('"rosterKey": "Zadritu-Tre-113",', "a.json", [1]), ('opts = {"heslo": "OwX8#SAVIDO88"}', "a.py", [1]),
 ]
