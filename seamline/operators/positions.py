@@ -15,9 +15,8 @@ def sorted_positions(df: DataFrame, order: list, name: str = "pos", stage: Stage
     Rows that tie in `order` get their positions in an order that is fixed once written.
     """
     stage = stage or Stage(df.sparkSession, "positions")
-    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     placed = stage.write(
-        df.repartitionByRange(parts, *order)
+        df.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_row", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))

@@ -16,9 +16,8 @@ def running_totals(df: DataFrame, group: list[str], order: list, size: str, stag
     that a lost executor can't change which partition a row is in. Null sizes count as 0. `order` must be total within a group.
     """
     stage = stage or Stage(df.sparkSession, "prefix")
-    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     amount = F.coalesce(F.col(size), F.lit(0))
-    placed = stage.write(df.repartitionByRange(parts, *group, *order).withColumn("_part", F.spark_partition_id()))
+    placed = stage.write(df.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id()))
     within = Window.partitionBy(*group, "_part").orderBy(*order)
     pieces = placed.groupBy(*group, "_part").agg(F.sum(amount).alias("_sum"))
     shift = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
