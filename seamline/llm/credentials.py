@@ -71,6 +71,8 @@ _QUOTED = re.compile(rf"(?:[bruf]{{1,2}})?({_LITERAL})", re.I)
 _FOLDED = re.compile(r"\\\r?\n\s*")
 _BIND = re.compile(r"""(?<!\w)(?P<name>[^\W\d][\w.]*+(?:-[\w.]++)*+)(?:\\?["'`])?\s{0,4}\]?[ \t]*(?P<sep>:=|=>|->|\|\||\?\?|=(?!=)|:(?![=/:])-?)[ \t]*""")
 _PAIR = re.compile(rf"(?<![\w.])(?P<call>[\w.]++)\s{{0,4}}[=:]?\s{{0,4}}[(\[]\s*(?P<a>{_LITERAL}|[\w@.-]+)\s*,\s*(?P<b>{_LITERAL}|[^\s,\])\"'`]+)\s*[)\],]")
+_FALLBACK = re.compile(rf"(?P<call>[\w.]+)\([^()\n]{{1,200}},\s*(?P<value>{_LITERAL})\s*\)")
+_DEFAULTS = re.compile(r"coalesce|try|lookup|get|get_?env\w*|env\w*|or_?else|default\w*|nvl|if_?null|fetch|pop|setting|option", re.I)
 _LOGIN = re.compile(r"log_?in|sign_?in|auth(?:enticate|orize)?|(?:set_?)?basic_?auth|credentials?|userpass", re.I)
 _FLAG = re.compile(r"""(?<![\w-])--?(?P<name>[A-Za-z][\w-]*?)(?:=|[ \t]+)(?P<q>\\?["'])?(?P<value>[^\s"'`]+)(?(q)(?P=q))""")
 _USER = re.compile(r"""(?<![\w-])(?:-u|--user)(?:=|[ \t]+)["']?[\w.@-]+:(?P<value>[^\s"'`]+)""")
@@ -102,9 +104,9 @@ def name_strength(name: str) -> int:
     if joined.endswith(("publickey", "pubkey", "primarykey", "foreignkey", "cachekey", "sortkey", "partitionkey")):
         return 0
     tails = ["".join(words[-k:]) for k in (1, 2, 3) if k <= len(words)]
-    if any(t in _SECRET for t in tails) or re.search(r"(?:api|access|secret|private|signing|encryption|master|hmac|auth|crypt|service|account|session|webhook|deploy|ssh)(?:key|token|secret)$", joined):
+    if any(t in _SECRET for t in tails) or re.search(r"(?:api|access|secret|private|signing|encryption|master|hmac|auth|crypt|service|account|session|webhook|deploy|ssh)(?:key|token)$|(?:passw(?:or)?d|pwd|secret)$", joined):
         return 2
-    return int(any(t in _LIKELY for t in tails) or bool(re.search(r"(?:passw(?:or)?d|pwd|token|secret)$", joined)))
+    return int(any(t in _LIKELY for t in tails) or joined.endswith("token"))
 
 
 def is_reference(value: str) -> bool:
@@ -135,7 +137,7 @@ class Finder:
         if not 6 <= len(value) <= 4096 or re.search(r"[\s(){}<>]", value):
             return False
         kinds = sum(bool(re.search(p, value)) for p in (r"[a-z]", r"[A-Z]", r"\d", r"[^\w]"))
-        if expected and kinds >= 2 and self.fit(value) < 2.2:
+        if expected and re.search(r"[a-z].*[A-Z]|[A-Z].*[a-z]", value) and self.fit(value) < 2.5:
             return True
         if kinds < 2 or not re.search(r"\d|[^\w.\-/:,]", value) and not (len(value) >= 16 and re.search(r"[a-z][A-Z].*[a-z][A-Z]", value)):
             return False
@@ -166,7 +168,7 @@ class Finder:
             if not is_reference(m.group()):
                 add(m.start(), m.end(), "service token")
         for m in _URL.finditer(text):
-            if not is_reference(m["value"]) and not is_reference(m["user"] + "x9"):
+            if not is_reference(m["value"]) and not (m["user"] and _REFERENCE.search(m["user"])):
                 add(*m.span("value"), "url password")
         for m in _SCHEME.finditer(text):
             if self._header(m["scheme"].lower(), m["value"]):
@@ -184,7 +186,7 @@ class Finder:
                 add(at, at + len(value), "login" if login else "default")
         for m in _FLAG.finditer(text):
             named = name_strength(m["name"]) if len(m["name"]) > 2 else 2 * (m["name"] == "p")
-            if named and not is_reference(m["value"]) and self.unnatural(m["value"]):
+            if named and not is_reference(m["value"]) and self.unnatural(m["value"], True):
                 add(*m.span("value"), "flag")
         for m in _USER.finditer(text):
             if not is_reference(m["value"]):
@@ -195,7 +197,7 @@ class Finder:
                     add(*m.span("value"), "netrc")
         for c in _COMMENT.finditer(text):
             for m in _SAID.finditer(text, c.start(), c.end()):
-                if name_strength(m["name"]) and not is_reference(m["value"]) and self.unnatural(m["value"].rstrip(".,;")):
+                if name_strength(m["name"]) and not is_reference(m["value"]) and self.unnatural(m["value"].rstrip(".,;"), name_strength(m["name"]) == 2):
                     add(*m.span("value"), "comment")
             for m in _SLASHED.finditer(text, c.start(), c.end()):
                 if not is_reference(m["value"]) and self.unnatural(m["value"], True):
@@ -239,6 +241,12 @@ class Finder:
             opened = opened or "\n" in step.group()
             at += step.end()
             at += len(text[at : at + 200]) - len(text[at : at + 200].lstrip())
+        if fallback := _FALLBACK.match(text, m.end()):
+            value = fallback["value"][1:-1]
+            usual = bool(_DEFAULTS.fullmatch(fallback["call"].rpartition(".")[2]))
+            if not is_reference(value) and (usual and strength == 2 and not re.search(r"\s", value) or self.unnatural(value, True)):
+                add(fallback.start("value") + 1, fallback.end("value") - 1, "default")
+                return
         first = None
         parts: list[str] = []
         while q := _QUOTED.match(text, at):
@@ -271,7 +279,7 @@ class Finder:
             add(bare.start(), bare.end(), "value")
 
     def _likely(self, value: str) -> bool:
-        return bool(_STARTS.match(value)) or self.unnatural(value)
+        return bool(_STARTS.match(value)) or self.unnatural(value, True)
 
     @staticmethod
     def _in_text(text: str, at: int, ticks: list[int]) -> bool:
