@@ -30,7 +30,7 @@ GENERATED_PATH = (
 #: Names of minified and bundled files.
 MINIFIED_PATH = r"(?:[.-]min|\.bundle|\.chunk|\.packed)\.(?:js|mjs|cjs|css)$|-[0-9a-f]{8,20}\.(?:js|mjs|css)$"
 #: Endings of settings and key files, which count as hand-written whatever they are made of.
-SETTINGS_PATH = r"\.(?:json|ini|env|netrc|pem|key|crt|cer|pub|properties|toml|conf|cfg|txt|md|lock)$|/\.?(?:netrc|env)$|/id_[^/.]+$"
+SETTINGS_PATH = r"\.(?:json|ini|env|netrc|pem|key|crt|cer|pub|properties|toml|conf|cfg|txt|md|lock)$|/\.?(?:netrc|env)$|/\.env\.[^/]*$|/id_[^/.]+$"
 
 _COMMENT = re.compile(r"\s*(?:#|//|/\*|\*|--|;|<!--|%|\"\"\"|''')")
 _NEGATED = re.compile(r"\b(?:nothing|not|never|no|none|isn't|aren't|wasn't|without)\b[^.;]{0,300}\b(?:generated|vendored|copied|imported)\b|\b(?:generated|vendored)\b[^.;]{0,300}\bby hand\b", re.I)
@@ -45,6 +45,11 @@ _TAKEN = re.compile(
     re.I,
 )
 _LITERAL = re.compile(r"""0[xX][0-9a-fA-F]+|-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|[bru]?"(?:[^"\\\n]|\\.)*"|[bru]?'(?:[^'\\\n]|\\.)*'|`[^`\n]*`""")
+#: From so many characters on, without long strings in it, a line is none that people write.
+LONG_LINE = 300
+_LONG_STRING = re.compile(r"""\"(?:[^"\\\n]|\\.){80,}+\"|'(?:[^'\\\n]|\\.){80,}+'|`[^`\n]{80,}+`""")
+#: Keys and certificates are settings wherever they stand.
+_ARMOURED = re.compile(r"-----BEGIN [A-Z0-9 ]+-----.{0,65536}?-----END [A-Z0-9 ]+-----", re.S)
 _BLOB = re.compile(r"^[A-Za-z0-9+/=_\-]{32,}\W*$")
 _RECORD = re.compile(r"^(?:[^,;|\t]*[,;|\t]){2,}[^,;|\t]*$")
 _CALLS = re.compile(r"\b(?:if|for|while|return|def|func|function|class|try|else|switch|import|package|resource|module)\b|=>|\bthrow\b")
@@ -83,12 +88,12 @@ def opening_says(text: str) -> str | None:
 
 
 def composition(text: str) -> tuple[int, int, int, int, int, int]:
-    """(characters, data characters, white space, lines, characters in long lines, words of control flow) of the code without comment lines.
+    """(characters, data characters, white space, lines, characters in long lines, words of control flow) of the code without comment lines, keys and certificates.
 
     A line is data if little but punctuation is left of it without its literals, or if it is one blob or one record of a table.
     """
     chars = data = space = lines = long_ = flow = 0
-    for line in text.split("\n"):
+    for line in _ARMOURED.sub("", text).split("\n"):
         bare = line.strip()
         if not bare or _COMMENT.match(line):
             continue
@@ -96,7 +101,7 @@ def composition(text: str) -> tuple[int, int, int, int, int, int]:
         n = len(bare)
         chars += n
         space += sum(map(bare.count, " \t"))
-        if n >= 300:
+        if n >= LONG_LINE and len(_LONG_STRING.sub("", bare)) >= LONG_LINE:
             long_ += n
         left = sum(c.isalpha() for c in _LITERAL.sub("", bare))
         digits = sum(c.isdigit() for c in bare)

@@ -42,10 +42,10 @@ def test_kinds(spark):
         ("/r", "/vendor/h.io/lib/a.go", [code(1)], at), ("/r", "/app/vendors/a.py", [code(2)], at), ("/r", "/src/third_party_billing/a.py", [code(3)], at), ("/r", "/deps/lib-1.2.3/a.py", [code(4)], at), ("/r", "/node_modules/@x/a/b.js", [code(5)], at),
         ("/r", "/a.pb.go", [None], at), ("/r", "/api/gen/a.go", [code(6)], at), ("/r", "/codegen/a.py", [code(7)], at), ("/r", "/x.min.js", ["!"], at), ("/r", "/m.js", ["!function(e,t){" + "a&&b;c(d);" * 80 + "}"], at),
         ("/r", "/d.py", ["t = [\n" + table + "\n]"], at), ("/r", "/d2.go", ["var t = []byte{\n" + table, table + "\n}"], at), ("/r", "/small.py", ["STEPS = [1, 2, 3]\n" + code(8)], at), ("/r", "/conf.json", ['{\n' + '\n'.join(f'"k{k}": "v{k}",' for k in range(60)) + "}"], at),
-        ("/r", "/hand.py", [None, code(9)], at), ("/r", "/g.py", ["# Code generated by x. DO NOT EDIT.\n", code(10)], at), ("/r", "/e.py", ["", None], at), ("/vendor", "/own.py", [code(11)], at),
+        ("/r", "/hand.py", [None, code(9)], at), ("/r", "/key.py", ["@retry(3)\ndef f():\n    key = '" + "Zx9" * 300 + "'\n" + code(30)], at), ("/r", "/.env.local", ["\n".join(f"K_{k}=12345678" for k in range(60))], at), ("/r", "/g.py", ["# Code generated by x. DO NOT EDIT.\n", code(10)], at), ("/r", "/e.py", ["", None], at), ("/vendor", "/own.py", [code(11)], at),
     )
     want = {"/r/vendor/h.io/lib/a.go": "vendored", "/r/deps/lib-1.2.3/a.py": "vendored", "/r/node_modules/@x/a/b.js": "vendored", "/r/a.pb.go": "generated", "/r/api/gen/a.go": "generated", "/r/g.py": "generated", "/r/x.min.js": "minified", "/r/m.js": "minified", "/r/d.py": "data", "/r/d2.go": "data"}
-    assert got == {p: want.get(p, "handwritten") for p in got} and len(got) == 18
+    assert got == {p: want.get(p, "handwritten") for p in got} and len(got) == 20
 
 
 def test_copies_with_edits_across_codebases(spark):
