@@ -137,9 +137,9 @@ def similar_vectors(
         """One row per vector for its home cell, with its code, and one per cell it looks into, with the rotated, rounded query and its product with the pivot."""
         turn, cells = rotation(dim_, bits), shared.value
         for pdf in batches:
-            step = max(1, min(4096, 8_000_000 // len(cells)))  # keeps the matrix of products at 32 MB
-            for at in range(0, len(pdf), step):
-                part = pdf.iloc[at : at + step]
+            height = max(1, min(4096, 8_000_000 // len(cells)))  # keeps the matrix of products at 32 MB
+            for at in range(0, len(pdf), height):
+                part = pdf.iloc[at : at + height]
                 x = _matrix(part["vec"], dim_)
                 near = x @ cells.T
                 best = np.argpartition(-near, probes - 1, axis=1)[:, :probes]

@@ -78,3 +78,10 @@ def test_a_third_of_all_are_equal(spark):
     for r in got.collect():
         per.setdefault(r.id, set()).add(r.other)
     assert all(len(per[i]) == 10 and per[i] <= set(range(200)) for i in range(200))
+
+
+def test_more_vectors_than_a_step_takes(spark):
+    base = RNG.standard_normal((5000, 8))
+    x = np.concatenate([base, base * 2 + 1e-4])
+    got = similar_vectors(frame(spark, x).repartition(1), "id", "embedding", 8, 2, 0.999).collect()
+    assert {(r.id, r.other) for r in got} >= {(k, k + 5000) for k in range(5000)}
