@@ -53,7 +53,7 @@ def parent_keys(nodes: DataFrame, refs: DataFrame) -> DataFrame:
     alive_from is null where a node that is not deleted has no time of its own: it was there always.
     """
     named = nodes.filter(F.col("cwd").isNotNull() & F.col("symbol_name").isNotNull())
-    always = F.timestamp_micros(F.lit(-(2**55)))
+    always = F.lit("0001-01-01 00:00:00").cast(nodes.schema["indexed_at"].dataType)
     parents = (
         named.select("cwd", "symbol_name", "indexed_at", F.col("deleted_at").isNull().alias("alive"))
         .groupBy("cwd", "symbol_name")
@@ -77,7 +77,7 @@ def orphan_groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     first living parent came after the earliest reference with a time.
     """
     tagged = parent_keys(nodes, edges).select(
-        "scope", "key", F.lit(True).alias("is_parent"), "alive", "alive_from", F.lit(None).cast("timestamp").alias("at")
+        "scope", "key", F.lit(True).alias("is_parent"), "alive", "alive_from", F.lit(None).cast(edges.schema["at"].dataType).alias("at")
     )
     tagged = tagged.unionByName(
         edges.select(
@@ -85,8 +85,8 @@ def orphan_groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             "key",
             F.lit(False).alias("is_parent"),
             F.lit(False).alias("alive"),
-            F.lit(None).cast("timestamp").alias("alive_from"),
-            F.col("at").cast("timestamp"),
+            F.lit(None).cast(nodes.schema["indexed_at"].dataType).alias("alive_from"),
+            "at",
         )
     )
     return (
@@ -116,8 +116,8 @@ def unresolved_references(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         "edge_id",
         F.coalesce("cwd", F.lit("\u0000")).alias("scope"),
         trimmed(F.col("callee")).alias("key"),
-        F.col("indexed_at").cast("timestamp").alias("at"),
-        F.col("loaded_at").cast("timestamp").alias("loaded_at"),
+        F.col("indexed_at").alias("at"),
+        "loaded_at",
     ).filter(F.col("key") != "")
     groups = orphan_groups(nodes, refs)
     state = (
