@@ -28,28 +28,37 @@ def scope_root(codebases: DataFrame, cwd: str) -> str:
 
 
 def semantic(memories: DataFrame, query, limit: int, exclude_low: bool = True) -> DataFrame:
-    """(id, similarity, rank) of the most similar memories. Similarities below LEAST_SIMILARITY are dropped, after the cut, unless the query is all zero."""
-    best = top_k(memories, query, min(MOST_CANDIDATES, 3 * limit))
+    """(id, similarity, rank) of the most similar memories. Similarities below LEAST_SIMILARITY are dropped, after the cut, unless the query is all zero.
+
+    Vectors that hold NaN are similar to nothing.
+    """
+    usable = memories.filter(~F.exists("embedding", F.isnan))
+    best = top_k(usable, query, min(MOST_CANDIDATES, 3 * limit))
     if exclude_low and any(query):
         best = best.filter(F.col("similarity") >= LEAST_SIMILARITY)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.col("similarity").desc(), "id")))  # at most MOST_CANDIDATES rows
 
 
-def lexical(files: DataFrame, memories: DataFrame, query: str, limit: int, path: str = "path", text: str = "text") -> DataFrame | None:
-    """(id, rank) of the chunks around matching lines, by path and line; None for a blank query."""
+def lexical(files: DataFrame, memories: DataFrame, query: str, limit: int, path: str = "path", text: str = "text", first_line: str | None = None) -> DataFrame | None:
+    """(id, rank) of the chunks around matching lines, by path and line; None for a blank query.
+
+    Texts that are parts of files have the line on which they begin in column `first_line`; null there counts as 1.
+    """
     option = route(query)
     if option is None:
         return None
-    hits = grep(files, [path], option, text, path=path).select(F.col(path).alias("path"), "line_no")
+    before = F.coalesce(F.col(first_line), F.lit(1)) - 1 if first_line else F.lit(0)
+    hits = grep(files, [path, *([first_line] if first_line else [])], option, text, path=path).select(F.col(path).alias("path"), (F.col("line_no") + before).alias("line_no"))
     chunks = hits_to_chunks(hits, memories.select("id", "path", "line_start", "line_end"))
     first = chunks.orderBy("path", "line_start", "line_end", "id").limit(min(MOST_CANDIDATES, 3 * limit))
     return first.withColumn("rank", F.row_number().over(Window.orderBy("path", "line_start", "line_end", "id")))  # at most MOST_CANDIDATES rows
 
 
-def search(memories: DataFrame, files: DataFrame, query: str, vector, limit: int = 10, cwd: str | None = None) -> DataFrame:
+def search(memories: DataFrame, files: DataFrame, query: str, vector, limit: int = 10, cwd: str | None = None, first_line: str | None = None) -> DataFrame:
     """(id, rrf, symbol_name, path, line_start, line_end) of the best memories for a text and its vector, in order of rrf, then id.
 
-    `memories` has id, symbol_name, path, line_start, line_end, embedding; `files` has path, text. The scope is applied before any cut.
+    `memories` has id, symbol_name, path, line_start, line_end, embedding; `files` has path, text and, if the texts are parts of files,
+    `first_line`. The scope is applied before any cut.
     """
     if limit < 1:
         raise ValueError("limit must be at least 1")
@@ -57,7 +66,7 @@ def search(memories: DataFrame, files: DataFrame, query: str, vector, limit: int
         inside = within(F.col("path"), F.lit(cwd))
         memories, files = memories.filter(inside), files.filter(inside)
     lists = [semantic(memories, vector, limit)]
-    words = lexical(files, memories, query, limit)
+    words = lexical(files, memories, query, limit, first_line=first_line)
     fused = reciprocal_ranks(*lists, *([words] if words is not None else []))
     best = fused.orderBy(F.round("rrf", 12).desc(), "id").limit(limit)
     return best.join(memories.select("id", "symbol_name", "path", "line_start", "line_end").dropDuplicates(["id"]), "id").orderBy(F.round("rrf", 12).desc(), "id")

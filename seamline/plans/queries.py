@@ -469,9 +469,9 @@ def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     """The ten best chunks for a text and the vector of the first usable memory."""
     items = table(spark, sf, "memory_items").filter("size(embedding) = 64").dropDuplicates(["id"])
     memories = items.select("id", "symbol_name", F.col("cwd").alias("path"), "line_start", "line_end", "embedding")
-    files = table(spark, sf, "chunks").filter("content IS NOT NULL").select(F.col("file_path").alias("path"), F.col("content").alias("text"))
+    files = table(spark, sf, "chunks").filter("content IS NOT NULL").select(F.col("file_path").alias("path"), F.col("content").alias("text"), "start_line")
     vector = memories.orderBy("id").select("embedding").first()[0]
-    return hybrid.search(memories, files, "prune merge", vector, 10)
+    return hybrid.search(memories, files, "prune merge", vector, 10, first_line="start_line")
 
 
 @query(

@@ -158,3 +158,24 @@ def test_records_and_arrays(spark, rows, tmp_path):
     text = spark.createDataFrame([("aé",), ("",), (None,)], "t string").select(vx.text_to_floats(F.col("t")).alias("v"))
     assert [r.v for r in text.collect()] == [[97.0, 195.0, 169.0], [], None]
     assert [r[0] for r in text.select(vx.floats_to_text(F.col("v"))).collect()] == ["aé", "", None]
+
+
+def test_hybrid_search_of_parts_of_files(spark, tmp_path):
+    from seamline.plans.queries import QUERIES
+
+    x = RNG.standard_normal((40, 64)).astype(np.float32).astype(float)
+    parts = []
+    for k in range(40):  # four parts of five lines in each of ten files, some words in the last lines only
+        word = {0: "prune", 3: "merge()", 7: "unpruned"}.get(k % 11, "other")
+        parts.append((f"id{k:02}", f"/r/f{k // 4}.go", "\n".join(["a", "b", "c", f"  {word}", "d"]), 5 * (k % 4) + 1, 5 * (k % 4) + 5))
+    spark.createDataFrame(parts, "id string, file_path string, content string, start_line int, end_line int").write.parquet(f"{tmp_path}/chunks.parquet")
+    memories = [(p[0], f"s{k}", p[1], p[3], p[4], [float(a) for a in x[k]]) for k, p in enumerate(parts)]
+    memories.append(("nan", "s", "/r/f0.go", 90, 99, [float("nan")] * 64))
+    spark.createDataFrame(memories, "id string, symbol_name string, cwd string, line_start int, line_end int, embedding array<float>").write.parquet(f"{tmp_path}/memory_items.parquet")
+
+    near = sorted(((-float(x[0] @ v / np.linalg.norm(x[0]) / np.linalg.norm(v)), p[0]) for v, p in zip(x, parts)))[:30]
+    lists = [[i for s, i in near if -s >= 0.10], [p[0] for p in sorted(parts, key=lambda p: (p[1], p[3], p[4], p[0])) if "prune" in p[2] or "merge" in p[2]][:30]]
+    score = {i: sum(1 / (60 + at.index(i) + 1) for at in lists if i in at) for i in {i for at in lists for i in at}}
+    want = sorted(score, key=lambda i: (-round(score[i], 12), i))[:10]
+    got = QUERIES["hybrid_search"](spark, str(tmp_path)).collect()
+    assert [r.id for r in got] == want and all(math.isclose(r.rrf, score[r.id]) for r in got)
