@@ -55,8 +55,8 @@ FORMATS = r"""(?<![A-Za-z0-9])(?:A(?:KIA|SIA|ROA|IDA)[0-9A-Z]{16}|gh[opsur]_[A-Z
 |hf_[A-Za-z0-9]{30,}|dop_v1_[a-f0-9]{64}|shpat_[a-fA-F0-9]{32}|sq0[a-z]{3}-[A-Za-z0-9_-]{22,}|key-[0-9a-f]{32}|EAACEdEose0cBA[A-Za-z0-9]+|AGE-SECRET-KEY-1[0-9A-Z]{58}
 |eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,})(?![A-Za-z0-9])"""
 
-#: Characters of a key block at most, and of a line that are looked at to tell code from text.
-MOST_BLOCK, NEAR = 1 << 16, 4096
+#: Characters of a line that are looked at to tell code from text.
+NEAR = 4096
 _SECRET, _LIKELY, _ENCODED, _DUMMY = (frozenset(x.split()) for x in (SECRET, LIKELY, ENCODED, DUMMY))
 _DOCUMENTED = frozenset(DOCUMENTED.split())
 _SERVICE = re.compile(FORMATS.replace("\n", ""))
@@ -64,6 +64,13 @@ _STARTS = re.compile(FORMATS.replace("\n", "").replace("(?<![A-Za-z0-9])", "^").
 _BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|PuTTY-User-Key-File-\d:")
 _BLOCK_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _BODY = re.compile(r"[A-Za-z0-9+/=]{20,}")
+#: What may stand between two lines of a key: line ends, real or escaped, quotes, signs that join literals, comment marks; then a header or a line of the key.
+_GAP = re.compile(r"""(?:[ \t\r\n"'`]|\\+[nrt]|\\(?=\r?\n)|[+.&,](?=[ \t\r\n"'`])|(?<=[\n \t])(?:\#|//|\*|--|;|>)(?=[ \t]))*+""")
+_KEY_HEADER = re.compile(r"""(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID|Encryption|Public-Lines|Private-Lines|Key-Derivation|Argon2-\w+|X-[\w-]+):(?:(?!\\+[nr])[^\n"`])*+""")
+_KEY_LINE = re.compile(r"""[A-Za-z0-9+/=]++(?=[ \t]*(?:[\r\n"'`<]|\\+[nrt]|\\\r?\n|-----|\Z))""")
+_KEY_MAC = re.compile(r"Private-(?:MAC|Hash):[ \t]*[0-9a-fA-F]+")
+_KEY_TYPE = re.compile(r"[ \t]*[\w.@-]*")
+_PLAIN_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _WORD = re.compile(r"[^\W\d_]+|\d+")
 _CAMEL = re.compile(r"(?<=[a-z0-9à-ÿ])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
 _LITERAL = r"""(?:"(?:[^"\\\n]|\\[\s\S])*+"|'(?:[^'\\\n]|\\[\s\S])*+'|`[^`]{0,65536}+`)"""
@@ -159,10 +166,10 @@ class Finder:
         settings = bool(_SETTINGS.search(path or ""))
         blocks = list(_BLOCK.finditer(text))
         for m, after in zip(blocks, [*(b.start() for b in blocks[1:]), len(text)]):
-            limit = min(after, m.end() + MOST_BLOCK)
-            stop = _BLOCK_END.search(text, m.end(), limit)
-            end = stop.end() if stop else limit
-            if _BODY.search(text, m.end(), end):
+            stop = None if m.group().startswith("PuTTY") else _BLOCK_END.search(text, m.end(), after)
+            if stop and self._is_key(text, m.end(), stop.start()):
+                add(m.start(), stop.end(), "private key")
+            elif end := self._key_end(text, m, after):
                 add(m.start(), end, "private key")
         for m in _SERVICE.finditer(text):
             if not is_reference(m.group()):
@@ -209,6 +216,42 @@ class Finder:
             out.append(Found(start, spans[start][0], line, spans[start][1]))
         return out
 
+    @staticmethod
+    def _is_key(text: str, start: int, end: int) -> bool:
+        """Whether what stands between BEGIN and END is a key, in whatever notation, rather than code between two markers."""
+        signs = sum(map(len, text[start:end].split()))
+        return sum(b.end() - b.start() for b in _BODY.finditer(text, start, end)) >= 0.5 * signs
+
+    @staticmethod
+    def _key_end(text: str, marker: re.Match, after: int) -> int:
+        """Where the key that begins at a marker without END ends: with its last contiguous line, or its MAC; 0 if no key follows."""
+        putty = marker.group().startswith("PuTTY")
+        at, end = marker.end(), 0
+        if putty:
+            at = _KEY_TYPE.match(text, at, after).end()
+        last = False
+        while True:
+            gap = _GAP.match(text, at, after)
+            at = gap.end()
+            if putty and end and (mac := _KEY_MAC.match(text, at, after)):
+                return mac.end()
+            if head := _KEY_HEADER.match(text, at, after):
+                at, last = head.end(), False
+                continue
+            line = _KEY_LINE.match(text, at, after)
+            if not line:
+                return end
+            n, between = line.end() - at, gap.group()
+            joined = "," not in between and (re.search(r"[\n+.&]|\\[nr]", between) or not between.strip())
+            if last:  # after a short line only the checksum of an armoured key
+                if not re.fullmatch(r"=[A-Za-z0-9+/]{4}", line.group()):
+                    return end
+            elif n < (20 if joined else 40):
+                if not end or not joined or _PLAIN_WORD.fullmatch(line.group()):
+                    return end
+                last = True
+            at = end = line.end()
+
     def _header(self, scheme: str, value: str) -> bool:
         if is_reference(value):
             return False
