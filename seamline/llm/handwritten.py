@@ -47,6 +47,14 @@ _TAKEN = re.compile(
 _LITERAL = re.compile(r"""0[xX][0-9a-fA-F]+|-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|[bru]?"(?:[^"\\\n]|\\.)*"|[bru]?'(?:[^'\\\n]|\\.)*'|`[^`\n]*`""")
 #: From so many characters on, without long strings in it, a line is none that people write.
 LONG_LINE = 300
+#: The markers, besides // and those that are closed, that begin a comment in files of these endings.
+COMMENT_MARKS = {
+    **dict.fromkeys("css scss less js mjs cjs jsx ts mts tsx go java kt swift c h cc cpp hpp cs rs scala dart html htm xml vue svelte".split(), ()),
+    **dict.fromkeys("py pyi rb pl sh bash zsh yaml yml tf tfvars hcl toml r jl cmake mk php".split(), ("#",)),
+    **dict.fromkeys("sql lua hs elm adb ads vhd vhdl".split(), ("--",)),
+    **dict.fromkeys("asm s lisp lsp el clj cljs scm ini".split(), (";", "#")),
+    **dict.fromkeys("tex sty erl hrl m".split(), ("%",)),
+}
 _LONG_STRING = re.compile(r"""\"(?:[^"\\\n]|\\.){80,}+\"|'(?:[^'\\\n]|\\.){80,}+'|`[^`\n]{80,}+`""")
 #: Keys and certificates are settings wherever they stand.
 _ARMOURED = re.compile(r"-----BEGIN [A-Z0-9 ]+-----.{0,65536}?-----END [A-Z0-9 ]+-----", re.S)
@@ -87,15 +95,39 @@ def opening_says(text: str) -> str | None:
     return None
 
 
-def composition(text: str) -> tuple[int, int, int, int, int, int]:
-    """(characters, data characters, white space, lines, characters in long lines, words of control flow) of the code without comment lines, keys and certificates.
+def code_of(line: str, path: str = "") -> str:
+    """A line without the comment it begins with, "" if it is nothing else.
+
+    Which markers begin a comment depends on the type of file; where it isn't known, all do, except on lines of LONG_LINE characters.
+    """
+    bare = line.strip()
+    own = COMMENT_MARKS.get(path.rpartition("/")[2].rpartition(".")[2].lower())
+    while m := _COMMENT.match(bare):
+        mark = m.group().strip()
+        closing = {"/*": "*/", "<!--": "-->", '"""': '"""', "'''": "'''"}.get(mark)
+        if mark == "*" and not 0 <= bare.find("/*") < bare.find("*/"):
+            closing = "*/"  # of a comment that began on an earlier line
+        at = bare.find(closing, m.end() - (mark == "*")) if closing else -1
+        if at >= 0:
+            bare = bare[at + len(closing) :].lstrip()
+        elif mark == "*":
+            return "" if len(bare) < LONG_LINE and re.match(r"\*(?:[\s*/]|$)", bare) else bare
+        elif closing or mark == "//" or (mark in own if own is not None else len(bare) < LONG_LINE):
+            return ""
+        else:
+            return bare
+    return bare
+
+
+def composition(text: str, path: str = "") -> tuple[int, int, int, int, int, int]:
+    """(characters, data characters, white space, lines, characters in long lines, words of control flow) of the code without leading comments, keys and certificates.
 
     A line is data if little but punctuation is left of it without its literals, or if it is one blob or one record of a table.
     """
     chars = data = space = lines = long_ = flow = 0
     for line in _ARMOURED.sub("", text).split("\n"):
-        bare = line.strip()
-        if not bare or _COMMENT.match(line):
+        bare = code_of(line, path)
+        if not bare:
             continue
         lines += 1
         n = len(bare)
@@ -118,7 +150,7 @@ def chunk_facts(chunks: DataFrame) -> DataFrame:
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t or "" for t in b.column("content").to_pylist()]
-            made = [composition(t) for t in texts]
+            made = [composition(t, p) for t, p in zip(texts, b.column("file_path").to_pylist())]
             cols = [b.column(c) for c in ("cwd", "file_path", "start_line", "dated")]
             cols += [pa.array([opening_says(t) for t in texts], pa.string())] + [pa.array([m[k] for m in made], pa.int64()) for k in range(6)]
             yield pa.RecordBatch.from_arrays(cols, names=["cwd", "file_path", "start_line", "dated", "says", "chars", "data", "space", "lines", "long_chars", "flow"])

@@ -78,3 +78,25 @@ def test_empty_and_long(spark):
     assert classify_files(rows(spark, ("/r", "/a.py", ["x"], None)).limit(0)).count() == 0
     got = kinds(spark, ("/r", "/long.py", [code("z", 30_000)], None), ("/r", "/line.py", ["x = '" + "y" * 1_000_000 + "'"], None))
     assert got["/r/long.py"] == "handwritten" and composition("")[0] == 0
+
+
+MINIFIED = "(function(e,t){if(e&&t){for(var n=0;n<e.length;n++){t[n]=e[n]^(n<<3);}return(t.x=e.y,t)}else{e.q=t.z+1}})(window,document);" * 8
+
+
+@pytest.mark.parametrize("text,path", [(";" + MINIFIED, "a.js"), ("/*! lib 1.2 */!" + MINIFIED, "a.js"), ("--i;" + MINIFIED, "a"), ("/* a\n * b */" + MINIFIED, "a.js"), ("*{box-sizing:border-box;margin:0}" * 20, "a.css"), ("#app{color:#fff;top:0}.b>p{left:1px}" * 20, "a.css"), ("<!-- x --><script>" + MINIFIED, "a.html")])
+def test_long_lines_after_a_marker_are_measured(text, path):
+    chars, _, space, _, dense, _ = composition(text, path)
+    assert dense >= 0.5 * chars and space <= 0.12 * chars and chars >= 300
+
+
+def test_comments_are_not_measured():
+    long = "x" * 400
+    for line, path in ((f"# {long}", "a.py"), (f"// {long}", "a.js"), (f"/* {long} */", "a.css"), (f"/* {long}", "a.css"), (f"-- {long}", "a.sql"), (f"; {long}", "a.ini"), (" * said", "a.js"), ("# short", "a"), ("/* a */ // b", "a.go"), ("*/", "a.c")):
+        assert composition(line, path)[0] == 0
+    assert composition("/* a */ x = 1;", "a.js")[0] == 6
+
+
+def test_minified_file_that_begins_like_a_comment(spark):
+    rows = [("/r/a", "/r/a/app.js", ";" + MINIFIED), ("/r/a", "/r/a/site.css", "*{box-sizing:border-box;margin:0}" * 20), ("/r/a", "/r/a/own.py", "# a note\n" + "x = compute(y)\n" * 30)]
+    df = spark.createDataFrame([(c, p, 1, None, t) for c, p, t in rows], "cwd string, file_path string, start_line int, created_at timestamp, content string")
+    assert {r.file_path: r.kind for r in classify_files(df).collect()} == {"/r/a/app.js": "minified", "/r/a/site.css": "minified", "/r/a/own.py": "handwritten"}
