@@ -72,6 +72,19 @@ def p2_paths(spark: SparkSession, sf: str) -> DataFrame:
     return hierarchy.resolve_hierarchy(links, with_paths=True).select(F.col("id").alias("node_id"), "path")
 
 
+@query(
+    "p2_descendants",
+    f"""WITH RECURSIVE {_LINKS},
+a AS (SELECT t.id AS below, t.parent_id AS above, 1 AS levels FROM t JOIN w USING (id) WHERE t.parent_id IS NOT NULL
+  UNION ALL SELECT a.below, t.parent_id, a.levels + 1 FROM a JOIN t ON t.id = a.above WHERE t.parent_id IS NOT NULL)
+SELECT above AS ancestor_id, below AS id, levels FROM a""",
+)
+def p2_descendants(spark: SparkSession, sf: str) -> DataFrame:
+    """Every node below each node, with the levels between them; nodes on a loop or below one have none."""
+    links = hierarchy.parent_links(table(spark, sf, "call_tree"))
+    return hierarchy.descendants(hierarchy.resolve_hierarchy(links, with_paths=True))
+
+
 _REFS = """
 e AS (SELECT edge_id, cwd, trim(callee) AS callee, any_value(indexed_at) AS indexed_at, any_value(loaded_at) AS loaded_at
   FROM call_edges WHERE trim(callee) <> '' GROUP BY edge_id, cwd, trim(callee)),

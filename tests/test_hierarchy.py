@@ -1,3 +1,4 @@
+import pytest
 import random
 
 from seamline.operators.hierarchy import descendants, parent_links, resolve_hierarchy
@@ -89,3 +90,16 @@ def test_paths_and_descendants_with_clashing_columns(spark):
     made = resolve_hierarchy(parent_links(df), with_paths=True)
     assert {r.id: r.path for r in made.collect()} == {1: "r", 2: "r > x", 3: "r > x > y", 4: None}
     assert sorted(tuple(r) for r in descendants(made).collect()) == [(1, 2, 1), (1, 3, 2), (2, 3, 1)]
+
+
+def test_descendants_of_the_whole_tree(spark):
+    import os
+
+    from seamline.plans.queries import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test data")
+    made = QUERIES["p2_descendants"](spark, folder)
+    below = QUERIES["p2_found"](spark, folder).filter("n_below > 0")
+    assert made.columns == ["ancestor_id", "id", "levels"] and {tuple(r) for r in made.groupBy("ancestor_id").count().collect()} == {(r.node_id, r.n_below) for r in below.collect()}
