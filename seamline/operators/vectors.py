@@ -46,8 +46,8 @@ def top_k(df: DataFrame, query, k: int, id_col: str = "id", vec_col: str = "embe
 def top_k_many(df: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vec_col: str = "embedding", exclude_self: bool = False) -> DataFrame:
     """(query_id, id, similarity, rank) of the k most similar vectors of every query (query_id, vector), exactly, ties by id.
 
-    Queries go out in blocks of QUERY_BLOCK; every partition multiplies its own vectors with the block and keeps its best k, so that
-    only k rows per query and partition are shuffled. Vectors that are null, zero, not finite or of another length score nothing.
+    Queries go out in blocks of QUERY_BLOCK, each with the vectors of its own length; every partition multiplies its own vectors with the block and keeps its best k, so that
+    only k rows per query and partition are shuffled. Vectors that are null, zero, not finite or of a length no query has score nothing.
     """
     spark = df.sparkSession
     asked = queries.select(F.col(queries.columns[0]).alias("query_id"), F.col(queries.columns[1]).alias("v")).filter("v IS NOT NULL").orderBy("query_id")
@@ -58,30 +58,32 @@ def top_k_many(df: DataFrame, queries: DataFrame, k: int, id_col: str = "id", ve
         block = [r for _, r in zip(range(QUERY_BLOCK), rows)]
         if not block:
             break
-        dim = len(block[0].v)
-        ids = [r.query_id for r in block if len(r.v) == dim]
-        matrix = np.array([r.v for r in block if len(r.v) == dim], np.float64)
-        length = np.linalg.norm(matrix, axis=1)
-        matrix = matrix / np.where(length > 0, length, 1)[:, None]
-        shared = spark.sparkContext.broadcast((ids, matrix))
-
-        def best(batches: Iterator[pd.DataFrame], shared=shared, dim=dim) -> Iterator[pd.DataFrame]:
-            names, q = shared.value
-            for pdf in batches:
-                pdf = pdf[[v is not None and len(v) == dim for v in pdf["v"]]]
-                if not len(pdf):
-                    continue
-                x = np.array(pdf["v"].tolist(), np.float64)
-                n = np.linalg.norm(x, axis=1)
-                good = np.isfinite(n) & (n > 0)
-                x, own = x[good] / n[good][:, None], pdf["id"].to_numpy()[good]
-                for at in range(0, len(names), 256):
-                    s = q[at : at + 256] @ x.T
-                    if exclude_self:
-                        s[np.array(names[at : at + 256])[:, None] == own[None, :]] = -2
-                    limit = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -1.5)
-                    i, j = np.nonzero(s >= np.maximum(limit, -1.5)[:, None])
-                    yield pd.DataFrame({"query_id": [names[at + r] for r in i], "id": own[j], "similarity": s[i, j]})
+        groups = []
+        for dim in sorted({len(r.v) for r in block}):
+            ids = [r.query_id for r in block if len(r.v) == dim]
+            matrix = np.array([r.v for r in block if len(r.v) == dim], np.float64)
+            length = np.linalg.norm(matrix, axis=1)
+            groups.append((dim, ids, matrix / np.where(length > 0, length, 1)[:, None]))
+        shared = spark.sparkContext.broadcast(groups)
+
+        def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            for whole in batches:
+                sizes = np.array([-1 if v is None else len(v) for v in whole["v"]])
+                for dim, names, q in shared.value:
+                    pdf = whole[sizes == dim]
+                    if not len(pdf):
+                        continue
+                    x = np.array(pdf["v"].tolist(), np.float64).reshape(len(pdf), dim)
+                    n = np.linalg.norm(x, axis=1)
+                    good = np.isfinite(n) & (n > 0)
+                    x, own = x[good] / n[good][:, None], pdf["id"].to_numpy()[good]
+                    for at in range(0, len(names), 256):
+                        s = q[at : at + 256] @ x.T
+                        if exclude_self:
+                            s[np.array(names[at : at + 256])[:, None] == own[None, :]] = -2
+                        limit = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -1.5)
+                        i, j = np.nonzero(s >= np.maximum(limit, -1.5)[:, None])
+                        yield pd.DataFrame({"query_id": [names[at + r] for r in i], "id": own[j], "similarity": s[i, j]})
 
         source = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
         parts.append(source.mapInPandas(best, f"query_id {kinds[0]}, id {kinds[1]}, similarity double"))

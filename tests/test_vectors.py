@@ -179,3 +179,10 @@ def test_hybrid_search_of_parts_of_files(spark, tmp_path):
     want = sorted(score, key=lambda i: (-round(score[i], 12), i))[:10]
     got = QUERIES["hybrid_search"](spark, str(tmp_path)).collect()
     assert [r.id for r in got] == want and all(math.isclose(r.rrf, score[r.id]) for r in got)
+
+
+def test_top_k_many_of_queries_of_several_lengths(spark, rows):
+    odd = [[1.0], [], [1.0, 2.0, 3.0], None]
+    df = table(spark, RNG.standard_normal((20, 4)), list(range(10, 30))).unionByName(spark.createDataFrame(list(enumerate(odd)), "id long, embedding array<float>"))
+    got = {r.query_id: r.id for r in vx.top_k_many(df, df.orderBy("id"), 1).collect()}
+    assert got == {k: k for k in [0, 2, *range(10, 30)]}
