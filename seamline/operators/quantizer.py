@@ -162,25 +162,30 @@ class Quantizer:
     def search_many(self, index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         """(query_id, id, similarity, rank) of the k best of an index for each query (query_id, vector), ties by id.
 
-        At most QUERY_BLOCK queries, which are broadcast; every batch keeps its best k per query, so only these are shuffled.
+        Queries go out in blocks of QUERY_BLOCK, which are broadcast; every batch keeps its best k per query, so only these are shuffled.
         """
-        asked = queries.select(F.col(queries.columns[0]).alias("query_id"), F.col(queries.columns[1]).alias("v")).filter(F.size("v") == self.dim).limit(QUERY_BLOCK + 1).collect()
-        if len(asked) > QUERY_BLOCK:
-            raise ValueError(f"more than {QUERY_BLOCK} queries: search in blocks")
-        kinds = dict(queries.dtypes)[queries.columns[0]], dict(index.dtypes)["id"]
-        names = [r.query_id for r in asked]
-        shared = index.sparkSession.sparkContext.broadcast(self.prepare(np.array([r.v for r in asked], np.float64).reshape(len(asked), self.dim)))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if len(pdf) and names:
-                    data = np.frombuffer(b"".join(pdf["codes"]), np.uint8).reshape(len(pdf), -1)
-                    s = self.score(shared.value, pdf["norm"].to_numpy(), unpack(data, self.bits, self.dim))
-                    least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
-                    i, j = np.nonzero(s >= least[:, None])
-                    yield pd.DataFrame({"query_id": [names[r] for r in i], "id": pdf["id"].to_numpy()[j], "similarity": s[i, j]})
-
-        scored = index.select("id", "norm", "codes").mapInPandas(run, f"query_id {kinds[0]}, id {kinds[1]}, similarity double")
+        spark = index.sparkSession
+        asked = queries.select(F.col(queries.columns[0]).alias("query_id"), F.col(queries.columns[1]).alias("v")).filter(F.size("v") == self.dim)
+        schema = f"query_id {dict(queries.dtypes)[queries.columns[0]]}, id {dict(index.dtypes)['id']}, similarity double"
+        scored = None
+        rows = asked.toLocalIterator()
+        while block := [r for _, r in zip(range(QUERY_BLOCK), rows)]:
+            shared = spark.sparkContext.broadcast(([r.query_id for r in block], self.prepare(np.array([r.v for r in block], np.float64))))
+
+            def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+                names, prepared = shared.value
+                for pdf in batches:
+                    if len(pdf):
+                        data = np.frombuffer(b"".join(pdf["codes"]), np.uint8).reshape(len(pdf), -1)
+                        s = self.score(prepared, pdf["norm"].to_numpy(), unpack(data, self.bits, self.dim))
+                        least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
+                        i, j = np.nonzero(s >= least[:, None])
+                        yield pd.DataFrame({"query_id": [names[r] for r in i], "id": pdf["id"].to_numpy()[j], "similarity": s[i, j]})
+
+            part = index.select("id", "norm", "codes").mapInPandas(run, schema)
+            scored = part if scored is None else scored.unionByName(part)
+        if scored is None:
+            scored = spark.createDataFrame([], schema)
         order = Window.partitionBy("query_id").orderBy(F.round("similarity", 12).desc(), "id")
         return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

@@ -186,3 +186,13 @@ def test_top_k_many_of_queries_of_several_lengths(spark, rows):
     df = table(spark, RNG.standard_normal((20, 4)), list(range(10, 30))).unionByName(spark.createDataFrame(list(enumerate(odd)), "id long, embedding array<float>"))
     got = {r.query_id: r.id for r in vx.top_k_many(df, df.orderBy("id"), 1).collect()}
     assert got == {k: k for k in [0, 2, *range(10, 30)]}
+
+
+def test_quantized_search_of_several_blocks(spark, rows, monkeypatch):
+    x = RNG.standard_normal((30, 8))
+    q = qz.Quantizer(8, 4)
+    index, asked = q.quantize(table(spark, x)), table(spark, x)
+    found = lambda: rows(q.search_many(index, asked, 3).select("query_id", "id", "rank"))
+    whole = found()
+    monkeypatch.setattr(qz, "QUERY_BLOCK", 7)
+    assert len(whole) == 90 and found() == whole
