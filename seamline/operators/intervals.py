@@ -73,6 +73,12 @@ def subtract(available: DataFrame, processed: DataFrame, block: int = BLOCK) ->
     return _swept(sides, (F.col("n0") > 0) & (F.col("n1") == 0))
 
 
+def intersect(one: DataFrame, other: DataFrame, block: int = BLOCK) -> DataFrame:
+    """What is in both sets."""
+    sides = cut(one, block).withColumn("side", F.lit(0)).unionByName(cut(other, block).withColumn("side", F.lit(1)))
+    return _swept(sides, (F.col("n0") > 0) & (F.col("n1") > 0))
+
+
 def merge(one: DataFrame, other: DataFrame, block: int = BLOCK) -> DataFrame:
     """The union of two sets, again disjoint."""
     sides = cut(one.unionByName(other), block).withColumn("side", F.lit(0))

@@ -29,20 +29,20 @@ def schedule(engine: Engine, checkpoint: str, every: str = "10 minutes", once: b
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
-def consume(spark: SparkSession, source: DataFrame, ledger: Ledger, scope: str, seq: str, process: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Process each numbered record of a stream once: a batch's numbers already in the ledger are skipped, the others are committed after `process`.
+def consume(spark: SparkSession, source: DataFrame, ledger: Ledger, scope: str, seq: str, process: Callable[[DataFrame, int], DataFrame], checkpoint: str) -> StreamingQuery:
+    """Process each numbered record of a stream once; the rows that `process` returns become visible in `ledger.outputs`.
 
-    A batch replayed after a crash finds what was committed in the ledger, so records are neither lost nor repeated.
+    A batch's numbers already in the ledger are skipped; the output of the others is committed together with their numbers by one entry, so
+    that a batch replayed after a crash neither loses nor repeats records, wherever the crash was.
     """
     from seamline.operators import intervals
 
     def batch(df: DataFrame, number: int) -> None:
         held = df.persist()
-        available = intervals.from_numbers(held, scope, seq, ledger.block)
-        gaps = ledger.pending(available)
+        gaps = ledger.pending(intervals.from_numbers(held, scope, seq, ledger.block))
         fresh = intervals.members(held, scope, seq, gaps, ledger.block)
         if not fresh.isEmpty():
-            ledger.commit(gaps, lambda: process(fresh, number))
+            ledger.commit(gaps, process(fresh, number))
         held.unpersist()
 
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -145,12 +145,13 @@ def test_stream_is_consumed_once(spark, rows, tmp_path):
     data = spark.range(100).selectExpr("'s' AS scope", "id AS seq", "timestamp'2024-01-01' + make_interval(0,0,0,0,0,id) AS ts", "'v' AS event_type", "1.5D AS value")
     data.write.parquet(f"{tmp_path}/in")
     ledger = Ledger(spark, f"file://{tmp_path}/ledger")
-    seen = []
     stream = lambda: spark.readStream.schema(data.schema).parquet(f"{tmp_path}/in")
-    consume(spark, stream(), ledger, "scope", "seq", lambda df, n: seen.append(df.count()), f"{tmp_path}/c1").awaitTermination(120)
+    done = lambda: [r.seq for r in ledger.outputs("seq long").orderBy("seq").collect()]
+    consume(spark, stream(), ledger, "scope", "seq", lambda df, n: df.select("seq"), f"{tmp_path}/c1").awaitTermination(120)
+    assert done() == list(range(100))
     data.withColumn("seq", F.col("seq") + 50).write.mode("append").parquet(f"{tmp_path}/in")
-    consume(spark, stream(), ledger, "scope", "seq", lambda df, n: seen.append(df.select("seq").distinct().count()), f"{tmp_path}/c2").awaitTermination(120)
-    assert sum(seen) == 150 and rows(ledger.processed().agg(F.sum(F.col("hi") - F.col("lo") + 1))) == [(150,)]
+    consume(spark, stream(), ledger, "scope", "seq", lambda df, n: df.select("seq").distinct(), f"{tmp_path}/c2").awaitTermination(120)
+    assert done() == list(range(150)) and rows(ledger.processed().agg(F.sum(F.col("hi") - F.col("lo") + 1))) == [(150,)]
     q = event_windows(stream(), "1 hour").writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sum(r.n_events for r in spark.sql("SELECT * FROM w").collect()) == 200
