@@ -1,10 +1,11 @@
 """Credentials written out in source code and settings, with their place, and their redaction.
 
-Strings are told apart by how badly a public subword vocabulary fits them: text a person would write takes
-few tokens, a random or made-up string nearly one per character or two. That measure decides only together
-with context: the name a value is bound to, the call or command it stands in, a comment that speaks of it, or a
-format that only credentials have. Redaction covers the found span with as many mask characters, so
-that every offset and line of the file stays as it was.
+Every literal is judged by how badly a public subword vocabulary fits it: text a person would write takes few tokens, a
+random or made-up string nearly one per character or two. The number of characters per subword is compared with a threshold
+that the context sets: high where a name or call says that a secret is held, lower where it may be, lower still where
+nothing is said, and never reached where the name speaks of a hash or an id. Formats that only credentials have, and key
+blocks, are found wherever they stand. Redaction covers the found spans with as many mask characters, line by line between the
+quotes, so that every offset and line of the file stays and literals stay closed.
 """
 
 from __future__ import annotations
@@ -31,12 +32,17 @@ class Found(NamedTuple):
     kind: str
 
 
-#: Last words of names that hold a password or secret, in several languages.
-SECRET = """password passwd passwort pass passphrase passcode pwd pw psw pswd secret secrets credential credentials creds cred
-kennwort zugang geheim geheimnis losung losungswort schluesselwort motdepasse mdp contrasena contraseña clave claveacceso senha
-parola parolaordine haslo hasło heslo jelszo lozinka geslo sifre şifre salasana losenord lösenord adgangskode kodeord passord wachtwoord
-parool parole slaptazodis salasõna пароль секрет parol 密码 密碼 口令 暗証番号 パスワード 비밀번호 암호
-sesame unlock opensesame passkey userpass dbpass rootpass smtppass"""
+#: Characters per subword below which a literal is a credential: where its context says so, where it may, and where it says nothing:
+#: of three kinds of characters, of two, and of letters in one case with signs between them.
+SAID, MAYBE, UNSAID = 8.0, 3.0, (2.6, 2.2, 1.6)
+#: Last words of names that hold a password, which may be a phrase, and of those that hold a secret.
+PASSWORD = "password passwd passwort kennwort passphrase passcode pwd pw psw pswd"
+SECRET = PASSWORD + " pass secret secrets credential credentials creds cred"
+#: Last words of names whose value looks random and is no secret.
+OPEN = """id ids uid uuid guid hash hashes digest checksum sum crc md5 sha sha1 sha256 sha512 etag revision rev commit ref integrity fingerprint thumbprint version nonce iv
+icon image img data blob cert certificate crt pub color colour locale charset encoding format pattern regex path file filename url uri href host model arn sample example"""
+#: Words of messages that speak of passwords.
+MESSAGE = "enter your please must should invalid incorrect wrong required forgot forgotten reset confirm expired cannot error failed missing least characters change changed type choose the is are not for with"
 #: Last words of names that hold a credential if the value looks like one.
 LIKELY = "key token auth authorization bearer pin otp salt apikey authkey accesskey secretkey privatekey signingkey masterkey license cookie session signature jwt pat sas connectionstring"
 #: Words after which a name still speaks of its own value.
@@ -55,9 +61,7 @@ FORMATS = r"""(?<![A-Za-z0-9])(?:A(?:KIA|SIA|ROA|IDA)[0-9A-Z]{16}|gh[opsur]_[A-Z
 |hf_[A-Za-z0-9]{30,}|dop_v1_[a-f0-9]{64}|shpat_[a-fA-F0-9]{32}|sq0[a-z]{3}-[A-Za-z0-9_-]{22,}|key-[0-9a-f]{32}|EAACEdEose0cBA[A-Za-z0-9]+|AGE-SECRET-KEY-1[0-9A-Z]{58}
 |eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,})(?![A-Za-z0-9])"""
 
-#: Characters of a line that are looked at to tell code from text.
-NEAR = 4096
-_SECRET, _LIKELY, _ENCODED, _DUMMY = (frozenset(x.split()) for x in (SECRET, LIKELY, ENCODED, DUMMY))
+_PASSWORD, _SECRET, _LIKELY, _OPEN, _ENCODED, _DUMMY, _MESSAGE = (frozenset(x.split()) for x in (PASSWORD, SECRET, LIKELY, OPEN, ENCODED, DUMMY, MESSAGE))
 _DOCUMENTED = frozenset(DOCUMENTED.split())
 _SERVICE = re.compile(FORMATS.replace("\n", ""))
 _STARTS = re.compile(FORMATS.replace("\n", "").replace("(?<![A-Za-z0-9])", "^").replace("(?![A-Za-z0-9])", "$"))
@@ -73,12 +77,12 @@ _KEY_TYPE = re.compile(r"[ \t]*[\w.@-]*")
 _PLAIN_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _WORD = re.compile(r"[^\W\d_]+|\d+")
 _CAMEL = re.compile(r"(?<=[a-z0-9à-ÿ])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
-_LITERAL = r"""(?:"(?:[^"\\\n]|\\[\s\S])*+"|'(?:[^'\\\n]|\\[\s\S])*+'|`[^`]{0,65536}+`)"""
+_LITERAL = r"""(?:"(?:[^"\\\n]|\\[\s\S])*+"|'(?:[^'\\\n]|\\[\s\S])*+'|`[^`]*+`)"""
 _QUOTED = re.compile(rf"(?:[bruf]{{1,2}})?({_LITERAL})", re.I)
 _FOLDED = re.compile(r"\\\r?\n\s*")
 _BIND = re.compile(r"""(?<!\w)(?P<name>[^\W\d][\w.]*+(?:-[\w.]++)*+)(?:\\?["'`])?\s{0,4}\]?[ \t]*(?P<sep>:=|=>|->|\|\||\?\?|=(?!=)|:(?![=/:])-?)[ \t]*""")
 _PAIR = re.compile(rf"(?<![\w.])(?P<call>[\w.]++)\s{{0,4}}[=:]?\s{{0,4}}[(\[]\s*(?P<a>{_LITERAL}|[\w@.-]+)\s*,\s*(?P<b>{_LITERAL}|[^\s,\])\"'`]+)\s*[)\],]")
-_FALLBACK = re.compile(rf"(?P<call>[\w.]+)\([^()\n]{{1,200}},\s*(?P<value>{_LITERAL})\s*\)")
+_FALLBACK = re.compile(rf"(?P<call>[\w.]++)\((?:(?:{_LITERAL}|[^()\n,\"'`])*+,\s*+)++(?P<value>{_LITERAL})\s*+\)")
 _DEFAULTS = re.compile(r"coalesce|try|lookup|get|get_?env\w*|env\w*|or_?else|default\w*|nvl|if_?null|fetch|pop|setting|option", re.I)
 _LOGIN = re.compile(r"log_?in|sign_?in|auth(?:enticate|orize)?|(?:set_?)?basic_?auth|credentials?|userpass", re.I)
 _FLAG = re.compile(r"""(?<![\w-])--?(?P<name>[A-Za-z][\w-]*?)(?:=|[ \t]+)(?P<q>\\?["'])?(?P<value>[^\s"'`]+)(?(q)(?P=q))""")
@@ -86,25 +90,48 @@ _USER = re.compile(r"""(?<![\w-])(?:-u|--user)(?:=|[ \t]+)["']?[\w.@-]+:(?P<valu
 _URL = re.compile(r"""[A-Za-z][A-Za-z0-9+.-]*://(?P<user>[^\s:/@"'`<>\[\]]*):(?P<value>[^\s@"'`/<>]+)@""")
 _SCHEME = re.compile(r"\b(?P<scheme>Basic|Bearer|Token|ApiKey)[ \t]+(?P<value>[A-Za-z0-9+/=._~-]{8,})", re.I)
 _COMMENT = re.compile(r"(?:^|(?<=\s))(?:#|//|/\*|\*|--|;|<!--)[^\n]*", re.M)
-_SAID = re.compile(r"""\b(?P<name>[^\W\d_][\w.]*)\b[ \t]*(?:is|was|were|[:=]|->)?[ \t]+["'`(]*(?P<value>[^\s"'`)]{6,})""")
+_SPEAKS = re.compile(r"""(?<![\w.])(?P<name>[^\W\d_](?:\.?\w)*+)\b[ \t]*(?:is|was|were|[:=]|->)?[ \t]+["'`(]*(?P<value>[^\s"'`)]{6,})""")
 _SLASHED = re.compile(r"\b(?:log_?in|account|user|creds?|credentials?)\b[ \t:=]+[\w.@-]+[ \t]*[/|][ \t]*(?P<value>\S{6,})", re.I)
 _NETRC = re.compile(r"(?:^|\s)(?:password|account)\s+(?P<value>\S+)")
 _REFERENCE = re.compile(
     r"""\$\{|\{\{|<%|%\(|\$\(|^\$|^<[^>]*>$|^%[sdv]$|^\{[^}]*\}$|^(?:vault|env|ssm|kms|sops|op|aws-sm|gcp-sm|secretsmanager|keyring|secret|ref\+\w+|file)[:(]|^arn:|^projects/|^ENC\[|^!|^@|^(?:var|local|module|data|process\.env|os\.environ|os\.getenv|env|secrets|config|settings)\.|^/(?:var|etc|run|home|opt|usr)/""",
     re.I,
 )
+#: Values with a structure of their own: numbers, digests, identifiers, addresses, paths, keys of settings.
+_STRUCTURE = re.compile(r"""(?:0x)?[0-9a-fA-F]+(?:[:-][0-9a-fA-F]+)*|[\d.,:\-+/TZ ]+|[A-Za-z][\w.+-]*:.*|sha\d+-.*|\.{0,2}/.*|~/.*|.*\.[A-Za-z]{1,5}|[\w.+-]+@[\w.-]+|v?\d+(?:\.\d+)+.*""", re.S)
+_DOTTED = re.compile(r"[a-z_][\w-]*(?:\.[a-z_][\w-]*)+")
+_RUN = re.compile(r"([A-Z]?[a-z]+|[A-Z]+(?![a-z])|[^\W\d_a-zA-Z]+)")
+#: What may stand between a name and its literal: brackets, conversions, line ends.
+_OPENER = re.compile(r"""(?:\(|\[\]byte|\[\]string|\[\]?|strings\.Join|new\b|String\b|str\b|bytes\b|Buffer\.from|string\b|join\b|trimspace|chomp|""\s*,|\{|\\?\s*\n)\s*+""")
+_HEREDOC = re.compile(r"""<<[-~]?\s*["']?(\w+)["']?[^\n]*+\n""")
+_BLOCK_TEXT = re.compile(r"[|>][+-]?\d?[ \t]*\r?\n")
+_JOINED_LIST = re.compile(r'""\s*,\s*\[')
+_NEXT_PART = re.compile(r"""\s*+(?:[+.&]|\.\.)\s*+(?=["'`])|[ \t]*+\\?\s*+\n\s*(?=["'`])|[ \t]++(?=["'])|\s*+,\s*+(?=["'])""")
+_BARE = re.compile(r"""[^\s"'`,;)\]}]+""")
+_LINE_TEXT = re.compile(r"\s*+(\S[^\n\r]*)")
+_MARK = re.compile(r"(?<!\S)(?:#|//|--|/?\*)")
+_EXPORT = re.compile(r"\s*(?:export|set|SET)\s")
 _SAME = re.compile(r"(.)\1*")
 _HOLLOW = re.compile(r"[xX*.\-_#?•…0]+")
 #: Endings of files in which an unquoted value is a literal.
 _SETTINGS = re.compile(r"(?:\.(?:ya?ml|ini|env|properties|toml|conf|cfg|config|netrc|npmrc|pgpass|htpasswd|tfvars|sh|bash|zsh|txt)|/\.?(?:netrc|env|npmrc|pypirc|dockercfg|credentials))$|/\.env[.\w]*$", re.I)
 
 
-@lru_cache(maxsize=100_000)
-def name_strength(name: str) -> int:
-    """2 if a name says that it holds a secret, 1 if it may, 0 else. A name ending in what describes a secret (its field, type, count) holds none."""
+def _words(name: str) -> list[str]:
+    """The words of a name, without those that describe in which form it holds its value."""
     words = [w.lower() for part in re.split(r"[_.\-\s]+", name) for w in _CAMEL.split(part) if w]
     while len(words) > 1 and (words[-1] in _ENCODED or words[-1].isdigit()):
         words.pop()
+    return words
+
+
+@lru_cache(maxsize=100_000)
+def name_strength(name: str) -> int:
+    """2 if a name says that it holds a secret, 1 if it may, -1 if it speaks of a hash, an id or the like, 0 else.
+
+    A name ending in what describes a secret (its field, type, count) holds none.
+    """
+    words = _words(name)
     if not words:
         return 0
     joined = "".join(words)
@@ -113,7 +140,9 @@ def name_strength(name: str) -> int:
     tails = ["".join(words[-k:]) for k in (1, 2, 3) if k <= len(words)]
     if any(t in _SECRET for t in tails) or re.search(r"(?:api|access|secret|private|signing|encryption|master|hmac|auth|crypt|service|account|session|webhook|deploy|ssh)(?:key|token)$|(?:passw(?:or)?d|pwd|secret)$", joined):
         return 2
-    return int(any(t in _LIKELY for t in tails) or joined.endswith("token"))
+    if any(t in _LIKELY for t in tails) or joined.endswith("token"):
+        return 1
+    return -1 if any(t in _OPEN for t in tails) else 0
 
 
 def is_reference(value: str) -> bool:
@@ -126,6 +155,26 @@ def is_reference(value: str) -> bool:
     return not words or all(w in _DUMMY for w in words if not w.isdigit()) and not any(len(w) > 4 for w in words if w.isdigit())
 
 
+class _Place:
+    """Whether places of a text, asked for from left to right, are in comments, strings or here-documents rather than in code. Linear over all of them."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.ticks = [m.start() for m in re.finditer("`", text)]
+        self.line = self.at = 0
+        self.odd, self.comment = [0, 0, 0], False
+
+    def in_text(self, at: int) -> bool:
+        text = self.text
+        if (end := text.rfind("\n", self.at, at)) >= 0:
+            self.line = self.at = end + 1
+            self.odd, self.comment = [0, 0, 0], False
+        self.odd = [n + text.count(q, self.at, at) for n, q in zip(self.odd, "\"'`")]
+        self.comment = self.comment or bool(_MARK.search(text, max(self.line, self.at - 2), at))
+        self.at = max(self.at, at)
+        return self.comment or any(n % 2 for n in self.odd) or bisect_left(self.ticks, at) % 2 == 1 or bool(_EXPORT.match(text, self.line, at))
+
+
 class Finder:
     """Finds credentials in one text at a time, with a vocabulary to measure strings by."""
 
@@ -133,22 +182,31 @@ class Finder:
         self.vocab = vocab
 
     def fit(self, value: str) -> float:
-        """Characters per subword: about 4 and more for words, below 2.5 for random strings."""
-        return len(value) / max(1, len(self.vocab.encode(value)))
+        """Characters per subword, runs of letters taken as words of a text: about 4 and more for words, below 2.5 for random strings."""
+        pieces = _RUN.split(value)
+        return len(value) / max(1, sum(len(self.vocab.encode(" " + p if k % 2 else p)) for k, p in enumerate(pieces) if p))
 
-    def unnatural(self, value: str, expected: bool = False) -> bool:
-        """Whether no one would write this string in words: of mixed kinds of characters and badly fitted by subwords.
+    def made_up(self, value: str, said: int) -> bool:
+        """Whether a value is a credential: its characters per subword stay below the threshold that the context sets.
 
-        Where the context makes a secret `expected`, mixed letters without digits or signs will do.
+        `said` is 2 where the context says that it holds a secret, 1 where it may, 0 where it says nothing, -1 where it speaks of something
+        else. Where a secret isn't certain, values must also mix kinds of characters, and where nothing is said, have no structure of their own.
         """
-        if not 6 <= len(value) <= 4096 or re.search(r"[\s(){}<>]", value):
+        if said < 0 or is_reference(value):
+            return False
+        if said == 2:
+            return self.fit(value) < SAID and not (_DOTTED.fullmatch(value) and self.fit(value) >= MAYBE)
+        if len(value) < 6 or re.search(r"[\s(){}<>]", value):
             return False
-        kinds = sum(bool(re.search(p, value)) for p in (r"[a-z]", r"[A-Z]", r"\d", r"[^\w]"))
-        if expected and re.search(r"[a-z].*[A-Z]|[A-Z].*[a-z]", value) and self.fit(value) < 2.5:
-            return True
-        if kinds < 2 or not re.search(r"\d|[^\w.\-/:,]", value) and not (len(value) >= 16 and re.search(r"[a-z][A-Z].*[a-z][A-Z]", value)):
+        lower, upper, digit, sign = (bool(re.search(p, value)) for p in (r"[a-z]", r"[A-Z]", r"\d", r"[^\w]"))
+        if said == 1:
+            return lower + upper + digit + sign >= 2 and self.fit(value) < (MAYBE if re.search(r"\d|[^\w.\-/:,]", value) else UNSAID[0])
+        if len(value) < 8 or _STRUCTURE.fullmatch(value):
             return False
-        return self.fit(value) < 2.75
+        runs = _RUN.findall(value)
+        if len(runs) < 4 and all(len(self.vocab.encode(" " + r)) < 2 for r in runs):
+            return False  # a few whole words with numbers or signs between them
+        return self.fit(value) < UNSAID[0 if digit and upper and (lower or sign) else 1 if digit or upper and lower else 2]
 
     def find(self, text: str | None, path: str | None = "") -> list[Found]:
         """All credentials of a text in order of place; none for null and empty texts."""
@@ -156,7 +214,6 @@ class Finder:
             return []
         spans: dict[int, tuple[int, str]] = {}
         covered = bytearray(len(text) + 1)
-        ticks = [m.start() for m in re.finditer("`", text)]
 
         def add(start: int, end: int, kind: str) -> None:
             if not covered[start]:
@@ -175,39 +232,42 @@ class Finder:
             if not is_reference(m.group()):
                 add(m.start(), m.end(), "service token")
         for m in _URL.finditer(text):
-            if not is_reference(m["value"]) and not (m["user"] and _REFERENCE.search(m["user"])):
+            if self.made_up(m["value"], 2) and not (m["user"] and _REFERENCE.search(m["user"])):
                 add(*m.span("value"), "url password")
         for m in _SCHEME.finditer(text):
             if self._header(m["scheme"].lower(), m["value"]):
                 add(*m.span("value"), "auth header")
+        place = _Place(text)
         for m in _BIND.finditer(text):
-            if strength := name_strength(m["name"]):
-                self._bound(text, m, strength, settings, ticks, add)
+            if (said := name_strength(m["name"])) > 0:
+                self._bound(text, m, said, settings, place, add)
+            elif said == 0:
+                self._unsaid(text, m, settings, add)
         for m in _PAIR.finditer(text):
             first, value = m["a"].strip("\"'`"), m["b"].strip("\"'`")
             literal = m["b"][0] in "\"'`"
-            strength = name_strength(first) if m["a"][0] in "\"'`" else 0
-            login = bool(_LOGIN.fullmatch(m["call"].rpartition(".")[2])) and (literal or settings)
+            named = name_strength(first) if m["a"][0] in "\"'`" and literal else 0
+            login = bool(_LOGIN.fullmatch(m["call"].rpartition(".")[2])) and (literal or settings) and not re.search(r"\s", value)
             at = m.start("b") + literal
-            if (login or strength and literal) and not is_reference(value) and (strength == 2 or self.unnatural(value) or login and not re.search(r"\s", value)):
+            if (login or named > 0) and self.made_up(value, 2 if login else named):
                 add(at, at + len(value), "login" if login else "default")
         for m in _FLAG.finditer(text):
             named = name_strength(m["name"]) if len(m["name"]) > 2 else 2 * (m["name"] == "p")
-            if named and not is_reference(m["value"]) and self.unnatural(m["value"], True):
+            if named > 0 and self.made_up(m["value"], 1):
                 add(*m.span("value"), "flag")
         for m in _USER.finditer(text):
-            if not is_reference(m["value"]):
+            if self.made_up(m["value"], 2):
                 add(*m.span("value"), "flag")
         if re.search(r"netrc$", path or ""):
             for m in _NETRC.finditer(text):
-                if not is_reference(m["value"]):
+                if self.made_up(m["value"], 2):
                     add(*m.span("value"), "netrc")
         for c in _COMMENT.finditer(text):
-            for m in _SAID.finditer(text, c.start(), c.end()):
-                if name_strength(m["name"]) and not is_reference(m["value"]) and self.unnatural(m["value"].rstrip(".,;"), name_strength(m["name"]) == 2):
+            for m in _SPEAKS.finditer(text, c.start(), c.end()):
+                if name_strength(m["name"]) > 0 and self.made_up(m["value"].rstrip(".,;"), 1):
                     add(*m.span("value"), "comment")
             for m in _SLASHED.finditer(text, c.start(), c.end()):
-                if not is_reference(m["value"]) and self.unnatural(m["value"], True):
+                if self.made_up(m["value"], 1):
                     add(*m.span("value"), "comment")
         out, at, line = [], 0, 1
         for start in sorted(spans):
@@ -253,104 +313,119 @@ class Finder:
             at = end = line.end()
 
     def _header(self, scheme: str, value: str) -> bool:
-        if is_reference(value):
-            return False
         if scheme == "basic":
             try:
-                user, colon, secret = base64.b64decode(value + "=" * (-len(value) % 4), validate=True).decode().partition(":")
+                _, colon, secret = base64.b64decode(value + "=" * (-len(value) % 4), validate=True).decode().partition(":")
             except ValueError:
                 return False
-            return bool(colon) and not is_reference(secret)
-        return self.unnatural(value)
-
-    def _bound(self, text: str, m: re.Match, strength: int, settings: bool, ticks: list[int], add) -> None:
+            return bool(colon) and not is_reference(value) and self.made_up(secret, 2)
+        return self.made_up(value, 1)
+
+    def _unsaid(self, text: str, m: re.Match, settings: bool, add) -> None:
+        """The literal bound to a name that says nothing; in settings also what stands alone behind it."""
+        if q := _QUOTED.match(text, m.end()):
+            if self.made_up(q.group(1)[1:-1], 0):
+                add(q.start(1) + 1, q.end(1) - 1, "value")
+        elif settings and (bare := _BARE.match(text, m.end())) and text[bare.end() : bare.end() + 1] in ("", "\n", "\r") and self.made_up(bare.group(), 0):
+            first = m.start()
+            while first and text[first - 1] in " \t-":
+                first -= 1
+            if not first or text[first - 1] == "\n":
+                add(*bare.span(), "value")
+
+    def _bound(self, text: str, m: re.Match, said: int, settings: bool, place: _Place, add) -> None:
         """The value bound to a secret's name: a literal, several joined, or on a later line."""
-        at = m.end()
-        head = re.compile(r"""(?:\(|\[\]byte|\[\]string|\[\]?|strings\.Join|new\b|String\b|str\b|bytes\b|Buffer\.from|string\b|join\b|trimspace|chomp|""\s*,|\{|\\?\s*\n)[ \t]*""")
-        opened = False
-        for _ in range(12):
-            rest = text[at : at + 400]
-            if here := re.match(r"<<[-~]?\s*[\"']?(\w+)[\"']?[^\n]*\n", rest):
-                self._line_value(text, at + here.end(), strength, add)
+        at, opened = m.end(), False
+        while True:
+            if here := _HEREDOC.match(text, at):
+                self._line_value(text, here.end(), said, add)
                 return
-            if (block := re.match(r"[|>][+-]?\d?[ \t]*\r?\n", rest)) and m["sep"].startswith(":"):
-                self._line_value(text, at + block.end(), strength, add)
+            if m["sep"].startswith(":") and (block := _BLOCK_TEXT.match(text, at)):
+                self._line_value(text, block.end(), said, add)
                 return
-            if _QUOTED.match(rest) and not re.match(r'""\s*,\s*\[', rest):
+            if _QUOTED.match(text, at) and not _JOINED_LIST.match(text, at):
                 break
-            step = head.match(rest)
+            step = _OPENER.match(text, at)
             if not step:
                 break
             opened = opened or "\n" in step.group()
-            at += step.end()
-            at += len(text[at : at + 200]) - len(text[at : at + 200].lstrip())
+            at = step.end()
         if fallback := _FALLBACK.match(text, m.end()):
             value = fallback["value"][1:-1]
             usual = bool(_DEFAULTS.fullmatch(fallback["call"].rpartition(".")[2]))
-            if not is_reference(value) and (usual and strength == 2 and not re.search(r"\s", value) or self.unnatural(value, True)):
+            if self.made_up(value, 2 if usual and said == 2 and not re.search(r"\s", value) else 1):
                 add(fallback.start("value") + 1, fallback.end("value") - 1, "default")
                 return
         first = None
         parts: list[str] = []
         while q := _QUOTED.match(text, at):
-            body = q.group(1)[1:-1]
-            if first is None:
-                first = (q.start(1) + 1, q.start(1) + 1 + len(body))
-            first = (first[0], q.end(1) - 1)
-            parts.append(_FOLDED.sub("", body))
-            gap = re.compile(r"\s*(?:[+.&]|\.\.)\s*|[ \t]*\\?\s*\n\s*(?=[\"'`])|[ \t]+(?=[\"'])|\s*,\s*(?=[\"'])").match(text, q.end())
-            joined = gap and (re.search(r"[+.&]", gap.group()) or opened or re.search(r"join\s*\(", text[m.end() : at], re.I) or not gap.group().strip())
-            if not joined or len(parts) > 64:
+            first = (first[0] if first else q.start(1) + 1, q.end(1) - 1)
+            parts.append(_FOLDED.sub("", q.group(1)[1:-1]))
+            gap = _NEXT_PART.match(text, q.end())
+            if not gap or not (re.search(r"[+.&]", gap.group()) or opened or not gap.group().strip() or re.search(r"join\s*\(", text[m.end() : at], re.I)):
                 break
             at = gap.end()
         if first is not None:
             value = "".join(parts)
             # Without a name of its own in the value: what a command or a URL holds is found by its own rules.
-            if not is_reference(value) and not re.search(r"[\s{}]", value) and "://" not in value and (strength == 2 or self._likely(value)):
+            if "://" not in value and not re.search(r"\{.*\}", value) and (self._phrase(m["name"], value) if re.search(r"\s", value) else self._likely(value, said)):
                 add(*first, "value")
             return
-        bare = re.compile(r"""[^\s"'`,;)\]}]+""").match(text, at)
-        if not bare or is_reference(bare.group()) or (opened and not settings):
+        bare = _BARE.match(text, at)
+        if not bare or (opened and not settings):
             return
         value = bare.group()
         after = text[bare.end() : bare.end() + 1]
         if re.match(r"[A-Za-z_][\w-]*:$", value) or after in "(" and after or re.search(r"[(\[{]", value):
             return
-        if settings and m["sep"][0] in ":=" and (strength == 2 and not re.fullmatch(r"[a-z]+(?:[-_ ][a-z]+)*|\d{1,4}", value) or self._likely(value)) or self.unnatural(value) and len(value) >= 8 and not re.fullmatch(r"[A-Za-z_][\w.]*", value):
-            add(bare.start(), bare.end(), "value")
-        elif not settings and len(value) >= 8 and self.unnatural(value, strength == 2) and self._in_text(text, m.start(), ticks):
-            add(bare.start(), bare.end(), "value")
-
-    def _likely(self, value: str) -> bool:
-        return bool(_STARTS.match(value)) or self.unnatural(value, True)
-
-    @staticmethod
-    def _in_text(text: str, at: int, ticks: list[int]) -> bool:
-        """Whether a place is in a comment, a string or a here-document rather than in code."""
-        begin = max(0, at - NEAR)
-        line = text[max(begin, text.rfind("\n", begin, at) + 1) : at]
-        return bool(re.search(r"(?:^|\s)(?:#|//|--|\*)", line)) or any(line.count(q) % 2 for q in "\"'`") or bisect_left(ticks, at) % 2 == 1 or bool(re.match(r"\s*(?:export|set|SET)\s", line))
-
-    def _line_value(self, text: str, at: int, strength: int, add) -> None:
+        if settings and m["sep"][0] in ":=":
+            if self._likely(value, said) and not (said == 2 and re.fullmatch(r"[a-z]+(?:[-_ ][a-z]+)*|\d{1,4}", value)):
+                add(*bare.span(), "value")
+        elif len(value) >= 8 and self.made_up(value, 1) and (not re.fullmatch(r"[A-Za-z_][\w.]*", value) and said == 1 or place.in_text(m.start())):
+            add(*bare.span(), "value")
+
+    def _likely(self, value: str, said: int) -> bool:
+        return bool(_STARTS.match(value)) and not is_reference(value) or self.made_up(value, said)
+
+    def _phrase(self, name: str, value: str) -> bool:
+        """Whether several words, or a value with blanks, are a password: only under a name that says so, and unless they speak about one."""
+        words = [w.lower() for w in _WORD.findall(value)]
+        certain = _words(name)[-1:] and (_words(name)[-1] in _PASSWORD or "".join(_words(name)).endswith(("password", "passphrase")))
+        return bool(certain) and "\n" not in value and not any(w in _MESSAGE or w in _PASSWORD for w in words) and self.made_up(value, 2)
+
+    def _line_value(self, text: str, at: int, said: int, add) -> None:
         """The first line of text at or after a place."""
-        m = re.compile(r"\s*(\S[^\n\r]*)").match(text, at)
-        if not m:
-            return
-        value = m.group(1).strip()
-        if not is_reference(value) and not re.search(r"\s", value) and "://" not in value and (strength == 2 or self._likely(value)):
+        m = _LINE_TEXT.match(text, at)
+        value = m.group(1).strip() if m else ""
+        if value and not re.search(r"\s", value) and "://" not in value and self._likely(value, said):
             add(m.start(1), m.start(1) + len(value), "value")
 
 
+#: What begins and ends a line of a credential that goes over several and is no part of it: comment marks, quotes, joining signs, line ends written out.
+_LINE_LEAD = re.compile(r"""[ \t]*(?:(?:\#|//|\*|--|;|>)[ \t]+)?["'`]?""")
+_LINE_TAIL = re.compile(r"""(?:(?:\\+[nr])*["'`][ \t]*[+.&,\\)]*[ \t]*|[ \t]*\\)?\r?\Z""")
+
+
 def redact(text: str | None, found: list[Found], mask: str = "*") -> str | None:
-    """The text with each span masked character by character; line ends, and so all offsets and lines, stay."""
+    """The text with each span masked character by character; line ends, and so all offsets and lines, stay.
+
+    Of a span over several lines, the quotes, joining signs and comment marks at the ends of its lines stay too, so that every literal stays closed.
+    """
     if not text or not found:
         return text
-    out = list(text)
-    for f in found:
-        for k in range(f.start, f.end):
-            if out[k] not in "\r\n":
-                out[k] = mask
-    return "".join(out)
+    out, at = [], 0
+    for f in sorted(found):
+        if f.start < at:
+            continue
+        out.append(text[at : f.start])
+        lines = text[f.start : f.end].split("\n")
+        for k, line in enumerate(lines):
+            lead = _LINE_LEAD.match(line).end() if k else 0
+            tail = max(lead, _LINE_TAIL.search(line, lead).start()) if k + 1 < len(lines) else len(line)
+            lines[k] = line[:lead] + mask * (tail - lead) + line[tail:]
+        out.append("\n".join(lines))
+        at = f.end
+    return "".join(out) + text[at:]
 
 
 def find_credentials(df: DataFrame, id_col: str = "id", text_col: str = "content", path_col: str = "file_path", name: str = "byte_bpe_50k", folder: str = VOCABULARIES) -> DataFrame:
