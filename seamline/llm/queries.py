@@ -45,6 +45,12 @@ def p1_sources(spark: SparkSession, sf: str) -> DataFrame:
     return files.join(kinds, ["cwd", "file_path"], "left").select("cwd", "file_path", F.coalesce("kind", by_path, F.lit("handwritten")).alias("kind"))
 
 
+@query("p1_evidence")
+def p1_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """(kind, evidence, n_files): how many files each kind of evidence decides."""
+    return handwritten.classify_files(table(spark, sf, "chunks")).groupBy("kind", "evidence").agg(F.count(F.lit(1)).alias("n_files"))
+
+
 @query("p3_found")
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return credentials.find_credentials(table(spark, sf, "chunks")).select("id", "line_no").distinct()

@@ -1,8 +1,12 @@
+import math
+import random
 from datetime import datetime as D
 
 import pytest
 
-from seamline.llm.handwritten import classify_files, composition, copies, line_index, opening_says
+from pyspark.sql import functions as F
+
+from seamline.llm.handwritten import classify_files, composition, find_copies, line_index, opening_says
 
 SCHEMA = "id string, cwd string, file_path string, content string, start_line int, created_at timestamp_ntz, kind string, n int"
 
@@ -56,22 +60,51 @@ def test_copies_with_edits_across_codebases(spark):
         ("/e", "/part.py", [code("o", 10) + "\n" + code("p", 10)], D(2025, 1, 1)), ("/e", "/tiny.py", ["\n".join(code("o", 30).split("\n")[:4])], D(2025, 1, 1)), ("/g", "/common.py", [common + "\n" + code("q", 9)], None),
     ]
     df = rows(spark, *files)
-    pairs = {(r.file, r.other): round(r.share, 2) for r in named(df)}
-    assert {k: v for k, v in pairs.items() if k[0].startswith("/b")} == {("/b/copy.py", "/a/orig.py"): 0.94, ("/b/copy.py", "/a/twin.py"): 0.94, ("/b/copy2.py", "/a/orig.py"): 0.94, ("/b/copy2.py", "/a/twin.py"): 0.94}
-    assert not any(k[0][:2] in ("/e", "/g") for k in pairs)
-    got = {r.file_path for r in classify_files(df.unionByName(df)).collect() if r.kind == "vendored"}
-    assert got == {"/b/copy.py", "/b/copy2.py", "/c/vendor/lib/x.py", "/d/early.py"}
+    assert links(df) == {"/b/copy.py": "/a/orig.py", "/b/copy2.py": "/a/orig.py", "/c/vendor/lib/x.py": "/d/early.py", "/e/tiny.py": "/a/orig.py"}
+    assert links(df, "/c/vendor") == {"/b/copy.py": "/a/orig.py", "/b/copy2.py": "/a/orig.py", "/d/early.py": "/c/vendor/lib/x.py", "/e/tiny.py": "/a/orig.py"}
+    got = {r.file_path: r.evidence for r in classify_files(df.unionByName(df)).collect() if r.kind == "vendored"}
+    assert got == {"/b/copy.py": "copy", "/b/copy2.py": "copy", "/c/vendor/lib/x.py": "path", "/d/early.py": "copy", "/e/tiny.py": "copy"}
+
+
+def links(df, vendored="-"):
+    """Each copy's path with that of the file it is held by."""
+    files = df.groupBy("cwd", "file_path").agg(F.min("created_at").cast("timestamp").alias("dated")).withColumn("vendored", F.col("file_path").startswith(vendored))
+    found = find_copies(line_index(df), files).collect()
+    assert len({r.file_path for r in found}) == len(found)
+    return {r.file_path: r.other_path for r in found}
+
+
+def brute(files, contained=0.8):
+    """Of files (cwd, path, set of lines, date) those that an earlier file of another codebase holds."""
+    return {p for c, p, x, d in files if any(c != c2 and (d2, p2) < (d, p) and len(x & y) >= (math.ceil(contained * len(x)) if len(x) >= 8 else len(x)) for c2, p2, y, d2 in files)}
+
+
+def test_copies_against_all_pairs(spark):
+    rng = random.Random(5)
+    files = []
+    for family in range(6):
+        text = [f"statement number {k} of family {family} here" for k in range(30)]
+        for k in range(12):
+            for j in range(rng.randrange(4)):  # versions drift away from the first
+                text[rng.randrange(len(text))] = f"edited line {rng.randrange(10**6)} in family {family}"
+            files.append((f"/c{rng.randrange(5)}", f"/f{family}_{k}.py", list(text), D(2025, 1, 1 + rng.randrange(20))))
+    files = [(c, c + p, t, at) for c, p, t, at in files]
+    df = rows(spark, *[(c, p.removeprefix(c), ["\n".join(t)], at) for c, p, t, at in files])
+    got = set(links(df))
+    assert got == brute([(c, p, set(t), at) for c, p, t, at in files]) and 10 < len(got) < len(files)
 
 
-def named(df):
-    """Copies with the paths of both files."""
-    return copies(line_index(df)).selectExpr("file_path AS file", "other_path AS other", "share").collect()
+def test_small_copies(spark):
+    small = "alpha_value = compute_alpha(first)\nbeta_value = compute_beta(second)"
+    common = [(f"/r{k}", f"/u{k}.py", [f"import common_module_of_all\n{code(k, 3)}"], D(2025, 1, 1)) for k in range(12)]
+    df = rows(spark, ("/a", "/s.py", [small], D(2024, 1, 1)), ("/b", "/s.py", [small], D(2025, 1, 1)), ("/c", "/t.py", [small + "\n" + code("w", 2)], D(2025, 1, 1)), ("/d", "/one.py", ["import common_module_of_all"], D(2025, 1, 1)), *common)
+    assert links(df) == {"/b/s.py": "/a/s.py"}
 
 
 def test_a_file_in_many_codebases(spark):
     df = rows(spark, *[(f"/r{k}", "/x.py", [code("m", 12)], D(2025, 1, 1 + k % 20)) for k in range(60)])
     got = classify_files(df).collect()
-    assert sorted(r.kind for r in got).count("handwritten") == 1 and len(got) == 60
+    assert sorted(r.kind for r in got).count("handwritten") == 1 and len(got) == 60 and len(links(df)) == 59
 
 
 def test_empty_and_long(spark):
