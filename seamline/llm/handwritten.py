@@ -214,11 +214,13 @@ class Tokens:
         return total, words, listed
 
 
-#: Lines (but for long ones) that are comments, literals, runs that no word is as long as, and words that an opening comment speaks of its origin in.
-_SQL_COMMENT = rf"(?m)^[ \t]*(?:#|//|\*|--|;|%|/\*|<!--).{{0,{LONG_LINE}}}$"
-_SQL_LITERAL = r"\"[^\"\n]*\"|'[^'\n]*'|`[^`\n]*`|0[xX][0-9a-fA-F]+"
-_SQL_BLOB, _SQL_LONG = r"[A-Za-z0-9+/=]{32,}", rf"[^\n]{{{LONG_LINE}}}"
-_SQL_CUE = r"(?i)generat|produced|rendered|created|emitted|built|compiled|written|made |copied|imported|vendored|taken|borrowed|forked|extracted|ported|mirrored|bundled|upstream|local copy|this copy of|copyright|(?:^|\n)\W*line \d"
+#: Lines (but for long ones) that are comments, literals, runs that no word is as long as, long lines, the opening comment, and words in which
+#: an opening comment speaks of its origin.
+_SQL_COMMENT = rf"(?m)^[ \t]*+(?:#|//|\*|--|;|%|/\*|<!--).{{0,{LONG_LINE}}}$"
+_SQL_LITERAL = r"\"[^\"\n]*+\"|'[^'\n]*+'|`[^`\n]*+`|0[xX][0-9a-fA-F]+"
+_SQL_BLOB, _SQL_LONG = r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/=]{32}", rf"(?m)^[^\n]{{{LONG_LINE}}}"
+_SQL_OPENING = r"\A(?:\s*+(?:/\*(?:[^*]|\*(?!/))*+\*/|(?:#|//|/?\*|--|;|<!--|%|\"{3}|'{3})[^\n]*+))*+"
+_SQL_CUE = r"(?i)generat|produced|rendered|created|emitted|built|compiled|written|made |copied|imported|vendored|taken|borrowed|forked|extracted|ported|mirrored|bundled|upstream|local copy|this copy of|copyright|line \d"
 
 
 def chunk_facts(chunks: DataFrame, name: str = "byte_bpe_50k", folder: str = VOCABULARIES) -> DataFrame:
@@ -234,9 +236,9 @@ def chunk_facts(chunks: DataFrame, name: str = "byte_bpe_50k", folder: str = VOC
         tokens = Tokens(_vocabulary(shared.value))
         for b in batches:
             says, made = [], []
-            for text, path, odd, cue, size, lines in zip(*(b.column(c).to_pylist() for c in ("content", "file_path", "odd", "cue", "size", "n_lines"))):
-                says.append(opening_says(text) if cue else None)
-                if odd:
+            for text, path, head, size, lines in zip(*(b.column(c).to_pylist() for c in ("content", "file_path", "head", "size", "n_lines"))):
+                says.append(opening_says(head) if head else None)
+                if text is not None:
                     code = code_lines(text, path)
                     made.append(_composed(code) + tokens.measure(code))
                 else:
@@ -244,13 +246,12 @@ def chunk_facts(chunks: DataFrame, name: str = "byte_bpe_50k", folder: str = VOC
             cols = [b.column(c) for c in names[:4]] + [pa.array(says, pa.string())] + [pa.array([m[k] for m in made], pa.int64()) for k in range(9)]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    bare = F.regexp_replace("content", _SQL_COMMENT, "")
-    rows = chunks.filter(F.col("file_path").isNotNull()).select("cwd", "file_path", "start_line", F.col("created_at").cast("timestamp").alias("dated"), F.coalesce("content", F.lit("")).alias("content"), F.coalesce(bare, F.lit("")).alias("bare"))
+    text = F.coalesce("content", F.lit(""))
+    rows = chunks.filter(F.col("file_path").isNotNull()).select("cwd", "file_path", "start_line", F.col("created_at").cast("timestamp").alias("dated"), text.alias("content"), F.regexp_extract(text, _SQL_OPENING, 0).alias("head"), F.regexp_replace(text, _SQL_COMMENT, "").alias("bare"))
     rows = rows.withColumn("size", F.length(F.regexp_replace("bare", r"\s+", "")))
     letters = F.length(F.regexp_replace(F.regexp_replace("bare", _SQL_LITERAL, ""), "[^A-Za-z]+", ""))
-    odd = (F.col("size") > 0) & (F.col("bare").rlike(_SQL_LONG) | (letters <= 0.5 * F.col("size")) | F.col("bare").rlike(_SQL_BLOB))
-    rows = rows.withColumn("odd", odd).withColumn("cue", F.col("content").rlike(_SQL_CUE))
-    rows = rows.select("cwd", "file_path", "start_line", "dated", F.when(F.col("odd") | F.col("cue"), F.col("content")).alias("content"), "odd", "cue", "size", F.regexp_count("bare", F.lit(r"\S[^\n]*")).alias("n_lines"))
+    odd = (F.col("size") > 0) & ((letters <= 0.5 * F.col("size")) | F.col("bare").rlike(_SQL_LONG) | F.col("bare").rlike(_SQL_BLOB))
+    rows = rows.select("cwd", "file_path", "start_line", "dated", F.when(odd, F.col("content")).alias("content"), F.when(F.col("head").rlike(_SQL_CUE), F.col("head")).alias("head"), "size", F.regexp_count("bare", F.lit(r"\S[^\n]*+")).alias("n_lines"))
     return rows.mapInArrow(measure, "cwd string, file_path string, start_line int, dated timestamp, says string, " + ", ".join(f"{c} long" for c in names[5:]))
 
 
@@ -291,8 +292,9 @@ def line_index(chunks: DataFrame) -> DataFrame:
     return (
         chunks.filter(F.col("content").isNotNull() & F.col("file_path").isNotNull())
         .select("cwd", "file_path", F.explode(F.split("content", r"\r?\n")).alias("line"))
+        .filter((F.length("line") >= 12) & F.col("line").rlike(r"\A(?:[^\p{L}\p{N}]*+[\p{L}\p{N}]){8}"))
         .withColumn("line", F.trim(F.regexp_replace("line", r"\s+", " ")))
-        .filter((F.length("line") >= 12) & (F.length(F.regexp_replace("line", r"[^\p{L}\p{N}]", "")) >= 8))
+        .filter(F.length("line") >= 12)
         .select("cwd", "file_path", F.xxhash64("line").alias("line_hash"))
     )
 
