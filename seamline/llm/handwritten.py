@@ -291,7 +291,7 @@ def line_index(chunks: DataFrame) -> DataFrame:
     """
     return (
         chunks.filter(F.col("content").isNotNull() & F.col("file_path").isNotNull())
-        .select("cwd", "file_path", F.explode(F.split("content", r"\r?\n")).alias("line"))
+        .select("cwd", "file_path", F.explode(F.split("content", "\n")).alias("line"))
         .filter((F.length("line") >= 12) & F.col("line").rlike(r"\A(?:[^\p{L}\p{N}]*+[\p{L}\p{N}]){8}"))
         .withColumn("line", F.trim(F.regexp_replace("line", r"\s+", " ")))
         .filter(F.length("line") >= 12)
