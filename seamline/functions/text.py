@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -68,3 +71,11 @@ def chunk_id(path: Column, start: Column, end: Column, text: Column) -> Column:
 def embedding_text(path: Column, start: Column, end: Column, text: Column) -> Column:
     """What is embedded of a chunk: its place, then its text."""
     return F.format_string("File: %s (Lines: %d-%d)\nContent:\n%s", path, start, end, text)
+
+
+def line_numbers(text: str) -> Callable[[int], int]:
+    """A function that gives the line, from 1, of an offset of the text."""
+    starts = [0]
+    while (at := text.find("\n", starts[-1])) >= 0:
+        starts.append(at + 1)
+    return lambda offset: bisect_right(starts, offset)

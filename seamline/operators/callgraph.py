@@ -9,7 +9,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from seamline.functions import hcl, steps
 from seamline.functions.golang import GoError, GoFile
+from seamline.functions.text import line_numbers
 from seamline.operators.references import lengths_of, suffixes_of_lengths
 from seamline.session import Stage
 
@@ -17,6 +19,8 @@ Node = tuple[str, int, int]
 Edge = tuple[str, str]
 #: Python functions whose calls are no edges.
 UNTRACKED = ("print", "len", "range")
+#: Terraform blocks that are nodes.
+TRACKED = ("resource", "module", "variable", "output")
 
 
 def graph_go(text: str) -> tuple[list[Node], list[Edge]]:
@@ -80,57 +84,33 @@ def graph_python(text: str) -> tuple[list[Node], list[Edge]]:
 
 
 def graph_terraform(text: str) -> tuple[list[Node], list[Edge]]:
-    """Blocks as resource.type.name, module.x, variable.x, output.x, and the blocks their lines refer to.
-
-    A block that closes on its own first line ends at the line after it, or at 0 where that one begins another block.
-    """
-    nodes: list[list] = []
+    """Blocks as resource.type.name, module.x, variable.x, output.x, and the modules and resources that their bodies refer to."""
+    line = line_numbers(text)
+    nodes: list[Node] = []
     edges: list[Edge] = []
-    lines = text.split("\n")
-    block, depth = None, 0
-    for n, line in enumerate(lines, 1):
-        words = line.split()
-        if words and re.match(r"\s*(?:resource|module|variable|output) ", line):
-            if len(words) > 1:
-                kind, label = words[0], words[1].strip('"{')
-                if kind == "resource" and len(words) > 2:
-                    label = words[1].strip('"') + "." + words[2].strip('"{')
-                block, depth = [f"{kind}.{label}", n, 0], line.count("{") - line.count("}")
-                nodes.append(block)
-            continue
-        if block is None:
-            continue
-        depth += line.count("{") - line.count("}")
-        if depth <= 0:
-            block[2], block = n, None
-            continue
-        for part in (w.strip('",()[]{}=').split(".") for w in words):
-            if len(part) > 1 and part[0] == "module":
-                edges.append((block[0], f"module.{part[1]}"))
-            elif len(part) > 1 and "_" in part[0]:
-                edges.append((block[0], f"resource.{part[0]}.{part[1]}"))
-    if block is not None:
-        block[2] = len(lines)
-    return [tuple(b) for b in nodes], edges
+    for b in hcl.blocks(text):
+        if b.kind in TRACKED and b.labels:
+            name = ".".join([b.kind, *b.labels[: 2 if b.kind == "resource" else 1]])
+            nodes.append((name, line(b.start), line(b.end - b.closed)))
+            for first, then, *_ in b.references:
+                if first == "module" or "_" in first:
+                    edges.append((name, f"module.{then}" if first == "module" else f"resource.{first}.{then}"))
+    return nodes, edges
 
 
 def graph_yaml(text: str) -> tuple[list[Node], list[Edge]]:
-    """Steps by their name or id, and what they need, use or run."""
-    nodes: list[list] = []
-    edges: list[Edge] = []
-    lines = text.split("\n")
-    for n, line in enumerate(lines, 1):
-        if m := re.match(r"\s*(?:- name|id|name):(.*)", line):
-            if label := m.group(1).strip(" '\"\r"):
-                if nodes:
-                    nodes[-1][2] = n - 1
-                nodes.append([f"step.{label}", n, 0])
-        elif nodes and re.search(r"(?:needs|uses|run_task):", line):
-            if target := line.partition(":")[2].strip(" '\"[](),\r"):
-                edges.append((nodes[-1][0], f"step.{target}"))
-    if nodes:
-        nodes[-1][2] = len(lines)
-    return [tuple(x) for x in nodes], edges
+    """Steps by their name or id, each up to the next one, and what they need, use or run, an edge for every item of a list."""
+    seen = [(n, key in steps.NAMES, f"step.{v}") for n, key, values in steps.entries(text) for v in values]
+    starts = [(n, name) for n, named, name in seen if named]
+    ends = [n - 1 for n, _ in starts[1:]] + [text.count("\n") + 1]
+    nodes = [(name, n, max(n, end)) for (n, name), end in zip(starts, ends)]
+    edges, owner = [], None
+    for _, named, name in seen:
+        if named:
+            owner = name
+        elif owner:
+            edges.append((owner, name))
+    return nodes, edges
 
 
 def graph_of(path: str, text: str) -> tuple[list[Node], list[Edge]]:

@@ -15,7 +15,9 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from seamline.functions import hcl
 from seamline.functions.golang import GoError, GoFile
+from seamline.functions.text import line_numbers
 
 #: Chunks of more bytes than this are split at line ends.
 MAX_BYTES = 20_000
@@ -100,18 +102,10 @@ def chunk_python(text: str) -> list[Piece]:
 
 
 def chunk_terraform(text: str) -> list[Piece]:
-    """One piece per block: a line that begins with a block word and holds a brace, up to where as many braces close as opened. The text outside is dropped."""
-    out, held, depth, since = [], [], 0, 0
-    for n, line in enumerate(text.split("\n"), 1):
-        if not held and not (line.strip().startswith(TERRAFORM_BLOCKS) and "{" in line):
-            continue
-        since = since if held else n
-        held.append(line)
-        depth += line.count("{") - line.count("}")
-        if depth <= 0:
-            out.append(Piece(since, n, "", "\n".join(held)))
-            held, depth = [], 0
-    return out or whole(text)
+    """One piece per closed top-level block whose type begins with a block word, in whole lines. What lies outside is dropped."""
+    line, rows = line_numbers(text), text.split("\n")
+    spans = [(line(b.start), line(b.end - 1)) for b in hcl.blocks(text) if b.closed and b.kind.startswith(TERRAFORM_BLOCKS)]
+    return [Piece(first, last, "", "\n".join(rows[first - 1 : last])) for first, last in spans] or whole(text)
 
 
 def chunk_yaml(text: str, compat: bool = False) -> list[Piece]:

@@ -99,7 +99,33 @@ def test_yaml():
     assert [p.start for p in chunk_yaml(text, compat=True)] == [1, 8]
     assert chunk_yaml(" \n") == whole(" \n") and spans(chunk_yaml("a\r\n---\r\nb")) == [("", 1, 1), ("", 3, 3)]
     nodes, edges = cg.graph_yaml("jobs:\n- name: 'Build'\n  needs: [A, B]\n  id: \"two\"\n  uses: x\nname:\n")
-    assert nodes == [("step.Build", 2, 3), ("step.two", 4, 7)] and edges == [("step.Build", "step.A, B"), ("step.two", "step.x")]
+    assert nodes == [("step.Build", 2, 3), ("step.two", 4, 7)] and edges == [("step.Build", "step.A"), ("step.Build", "step.B"), ("step.two", "step.x")]
+
+
+def test_terraform_syntax():
+    text = 'variable "one" {}\nresource "aws_a" "x" {\n  s = "}}} ${aws_b.y.id} and $${aws_no.z} and a_b.c" # aws_c.d {\n  t = "${lookup(module.m["k"].out, "}")}"\n  h = <<-EOT\n    { aws_d.e ${aws_e.f[0].id}\n  EOT\n  /* { aws_g.h */\n  n { p = aws_i.j[count.index].k }\n}\nx = 1\noutput "o" { value = var.one }\nlocals {\n  a = { b = 1 }\n}'
+    nodes, edges = cg.graph_terraform(text)
+    assert nodes == [("variable.one", 1, 1), ("resource.aws_a.x", 2, 10), ("output.o", 12, 12)]
+    assert [b for _, b in edges] == ["resource.aws_b.y", "module.m", "resource.aws_e.f", "resource.aws_i.j"]
+    assert spans(chunk_terraform(text)) == [("", 1, 1), ("", 2, 10), ("", 12, 12), ("", 13, 15)]
+    for odd in ("", "{", "}", '"', "<<E", 'resource "a" {', "}" * 50 + "locals {\n}", 'a = "${"', "locals { x = <<E\n"):
+        assert chunk_terraform(odd) and cg.graph_of("x.tf", odd)[1] == []
+
+
+def test_terraform_across_files(spark):
+    files = [("vpc.tf", '\nmodule "vpc" {\n  source = "./modules/vpc"\n}\n\nresource "aws_vpc" "main" {\n  cidr_block = "10.0.0.0/16"\n}\n'), ("net.tf", '\nresource "aws_route_table" "route_a" {\n  vpc_id   = aws_vpc.main.id\n  route_id = module.vpc.route_table_id\n}\n')]
+    g = cg.extract_graph(spark.createDataFrame(files, "path string, text string"))
+    report = cg.call_report(cg.nodes_of(g), cg.edges_of(g), "aws_route_table.route_a", "callee", 2).collect()
+    assert {r.name for r in report} == {"resource.aws_vpc.main", "module.vpc"}
+
+
+def test_yaml_steps_across_files(spark):
+    files = [("ci.yaml", "\nsteps:\n  - name: Build\n    run_task: go build\n  - name: Test\n    needs: [Build]\n"), ("cd.yaml", "\nsteps:\n  - name: Deploy\n    needs:\n      - Test # first\n      - 'Build'\n    if: x\n")]
+    g = cg.extract_graph(spark.createDataFrame(files, "path string, text string"))
+    down = cg.call_report(cg.nodes_of(g), cg.edges_of(g), "step.Deploy", "callee", 3).collect()
+    assert {(r.depth, r.name) for r in down} == {(1, "step.Test"), (1, "step.Build"), (2, "step.Build")}
+    nodes, edges = cg.graph_yaml("- {name: a, needs: [b, 'c d']}\n- name: \"e\" # note\n  uses: org/act@v1\n  needs: []\n  needs:\n  - f\nid:\nname: # none\n")
+    assert nodes == [("step.a", 1, 1), ("step.e", 2, 9)] and edges == [("step.a", "step.b"), ("step.a", "step.c d"), ("step.e", "step.org/act@v1"), ("step.e", "step.f")]
 
 
 def test_refine():
