@@ -69,7 +69,7 @@ SELECT t.id AS node_id, q.path FROM t LEFT JOIN q USING (id)""",
 )
 def p2_paths(spark: SparkSession, sf: str) -> DataFrame:
     links = hierarchy.parent_links(table(spark, sf, "call_tree"))
-    return hierarchy.resolve_hierarchy(links, with_paths=True).select(F.col("id").alias("node_id"), "path")
+    return hierarchy.resolve_hierarchy(links, with_paths=True, with_sizes=False).select(F.col("id").alias("node_id"), "path")
 
 
 @query(
@@ -82,7 +82,7 @@ SELECT above AS ancestor_id, below AS id, levels FROM a""",
 def p2_descendants(spark: SparkSession, sf: str) -> DataFrame:
     """Every node below each node, with the levels between them; nodes on a loop or below one have none."""
     links = hierarchy.parent_links(table(spark, sf, "call_tree"))
-    return hierarchy.descendants(hierarchy.resolve_hierarchy(links, with_paths=True))
+    return hierarchy.descendants(hierarchy.resolve_hierarchy(links, with_paths=True, with_sizes=False))
 
 
 _REFS = """
