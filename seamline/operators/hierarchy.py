@@ -5,11 +5,12 @@ to themselves, which doubles the distance, so a tree of depth d needs about log2
 whatever its number of nodes. A round that brings no further node to its root proves that all
 nodes left are on a loop or below one: a deeper node would have an ancestor at every smaller depth.
 
-Only nodes that have not reached their root are carried from round to round; the others are written once and looked up.
 Subtree sizes ride along: if size_k(v) counts the nodes less than 2^k below v (v included), then
-size_{k+1}(v) = size_k(v) + sum of size_k(u) over the open nodes u, whose pointers are their 2^k-th ancestors v. What comes to a
-node after it was finished is summed up once at the end. The sums are grouped ones, so a parent that holds a third of all
-rows is pre-aggregated before the shuffle.
+size_{k+1}(v) = size_k(v) + sum of size_k(u) over the open nodes u, whose pointers are their 2^k-th ancestors v. The sums are
+grouped ones, so a parent that holds a third of all rows is pre-aggregated before the shuffle.
+
+A node that has reached its root is carried on only while open nodes point to it: once none does, none ever will, as pointers
+move to where pointers of open nodes are. So the rows of a round shrink with the nodes of that depth, and each node is written a last time with its final size.
 """
 
 from __future__ import annotations
@@ -71,8 +72,8 @@ def parent_links(
     )
 
 
-def resolve_hierarchy(links: DataFrame, with_paths: bool = False, with_sizes: bool = True, max_rounds: int = 64) -> DataFrame:
-    """(id, name, root_id, depth_no[, n_below][, path, path_ids]) of each row of `parent_links`.
+def resolve_hierarchy(links: DataFrame, with_paths: bool = False, max_rounds: int = 64) -> DataFrame:
+    """(id, name, root_id, depth_no, n_below[, path, path_ids]) of each row of `parent_links`.
 
     Nodes on a loop or below one have -1 in root_id, depth_no and n_below and null paths. The empty table gives the
     empty table. A path runs from the root to the node, joined with " > ".
@@ -89,54 +90,51 @@ def resolve_hierarchy(links: DataFrame, with_paths: bool = False, with_sizes: bo
             is_root.alias("done"),
             F.lit(1).cast("long").alias("size"),
             *([F.array(F.coalesce("name", F.lit(""))).alias("seg"), F.array("id").alias("seg_ids")] if with_paths else []),
+            F.lit(False).alias("final"),
         )
     )
-    finished = [state.filter("done").withColumn("round", F.lit(-1))]
-    waiting = state.filter("NOT done")
-    carried: list[DataFrame] = []
-    n_open = waiting.count()
-    while n_open and len(carried) < max_rounds:
-        seen = waiting
-        for part in finished:
-            seen = seen.unionByName(part.drop("round"))
-        ahead = seen.select(F.col("id").alias("anc"), F.col("anc").alias("anc2"), F.col("dist").alias("dist2"), F.col("done").alias("done2"), *[F.col(c).alias(c + "2") for c in segs])
-        moved = waiting.join(ahead, "anc").select(
-            "id", "name", F.col("anc2").alias("anc"), (F.col("dist") + F.col("dist2")).alias("dist"), F.col("done2").alias("done"), "size", *[F.concat(c + "2", c).alias(c) for c in segs]
+    columns = state.columns
+    parts: list[DataFrame] = []
+    n_open = state.filter("NOT done").count()
+    for _ in range(max_rounds):
+        if not n_open:
+            break
+        # Each row with what open nodes that point to it add to its size; null where none does.
+        more = state.filter("NOT done").groupBy(F.col("anc").alias("id")).agg(F.sum("size").alias("more"))
+        marked = state.join(more, "id", "left").withColumn("final", F.col("more").isNull() & F.col("done")).withColumn("size", F.col("size") + F.coalesce("more", F.lit(0)))
+        ahead = marked.filter("more IS NOT NULL").select(F.col("id").alias("to"), *[F.col(c).alias(c + "2") for c in ("anc", "dist", "done", *segs)])
+        moved = marked.join(ahead, F.when(F.col("done"), F.col("id")).otherwise(F.col("anc")) == F.col("to"), "left")
+        is_open = ~F.col("done")
+        state = stage.write(
+            moved.select(
+                "id",
+                "name",
+                F.when(is_open, F.col("anc2")).otherwise(F.col("anc")).alias("anc"),
+                (F.col("dist") + F.when(is_open, F.col("dist2")).otherwise(0)).alias("dist"),
+                F.when(is_open, F.col("done2")).otherwise(True).alias("done"),
+                "size",
+                *[F.when(is_open, F.concat(c + "2", c)).otherwise(F.col(c)).alias(c) for c in segs],
+                "final",
+            ).select(*columns)
         )
-        if with_sizes:
-            more = waiting.groupBy(F.col("anc").alias("id")).agg(F.sum("size").alias("more"))
-            moved = moved.join(more, "id", "left").withColumn("size", F.col("size") + F.coalesce("more", F.lit(0))).drop("more")
-        carried.append(waiting)
-        state = stage.write(moved.select(*state.columns))
-        finished.append(state.filter("done").withColumn("round", F.lit(len(carried) - 1)))
-        waiting = state.filter("NOT done")
-        left = waiting.count()
+        parts.append(state.filter("final"))
+        state = state.filter("NOT final")
+        left = state.filter("NOT done").count()
         if left == n_open:
             break
         n_open = left
-    rows = finished[0]
-    for part in finished[1:]:
+    rows = state
+    for part in parts:
         rows = rows.unionByName(part)
-    paths = [F.array_join("seg", SEPARATOR).alias("path"), F.col("seg_ids").alias("path_ids")] if with_paths else []
-    looped = waiting.select("id", "name", F.lit(-1).cast(links.schema["id"].dataType).alias("root_id"), F.lit(-1).alias("depth_no"))
-    if with_paths:
-        looped = looped.withColumns({"path": F.lit(None).cast("string"), "path_ids": F.lit(None).cast(state.schema["seg_ids"].dataType)})
-    root, depth = F.col("anc").alias("root_id"), F.col("dist").cast("int").alias("depth_no")
-    if not with_sizes:
-        return rows.select("id", "name", root, depth, *paths).unionByName(looped)
-    # What open nodes added to nodes that were finished in an earlier round: at most one sum per round and node.
-    late = None
-    for k, part in enumerate(carried):
-        sums = part.groupBy(F.col("anc").alias("id")).agg(F.sum("size").alias("more")).select("id", F.struct(F.lit(k).alias("k"), "more").alias("later"))
-        late = sums if late is None else late.unionByName(sums)
-    if late is None:
-        rows = rows.withColumn("more", F.lit(0))
-    else:
-        late = late.groupBy("id").agg(F.collect_list("later").alias("later"))
-        after = F.filter("later", lambda x: x["k"] > F.col("round"))
-        rows = rows.join(late, "id", "left").withColumn("more", F.coalesce(F.aggregate(after, F.lit(0).cast("long"), lambda s, x: s + x["more"]), F.lit(0)))
-    below = (F.col("size") - 1 + F.col("more")).cast("int").alias("n_below")
-    return rows.select("id", "name", root, depth, below, *paths).unionByName(looped.withColumn("n_below", F.lit(-1)))
+    done = F.col("done")
+    return rows.select(
+        "id",
+        "name",
+        F.when(done, F.col("anc")).otherwise(F.lit(-1)).alias("root_id"),
+        F.when(done, F.col("dist")).otherwise(-1).cast("int").alias("depth_no"),
+        F.when(done, F.col("size") - 1).otherwise(-1).cast("int").alias("n_below"),
+        *([F.when(done, F.array_join("seg", SEPARATOR)).alias("path"), F.when(done, F.col("seg_ids")).alias("path_ids")] if with_paths else []),
+    )
 
 
 def descendants(hierarchy: DataFrame) -> DataFrame:
