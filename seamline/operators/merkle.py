@@ -53,29 +53,38 @@ def file_hashes(chunks: DataFrame, path: str, order: list[str], hash_col: str) -
     return _joined_hashes(chunks.filter(F.col(path).isNotNull()).select(path, *order, hash_col), path, order, hash_col, "file_hash")
 
 
+def _tops(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """`nodes` (node_path, ...) at or below a root, with `top`: the level of the highest one. Every folder above a file's folder is looked up, so it is an equi-join."""
+    parts = F.split("folder", "/")
+    folders = nodes.select(parent(F.col("node_path")).alias("folder")).filter(F.col("folder").isNotNull()).distinct()
+    above = folders.select("folder", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(i.alias("level"), F.array_join(F.slice(parts, F.lit(1), i), "/").alias("root")))).alias("a"))
+    tops = above.select("folder", "a.level", "a.root").join(roots.select("root").distinct(), "root").groupBy("folder").agg(F.min("level").alias("top"))
+    return nodes.join(tops, parent(F.col("node_path")) == F.col("folder")).drop("folder")
+
+
 def folder_hashes(files: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """(node_path, node_hash) of every folder above the files (node_path, node_hash): the hash of its children's names and hashes by name.
 
     Folders are hashed from the deepest level up, one grouped pass per level; levels are written, so that none is computed twice. With
     `roots` (root) given, only folders at or below a root are made.
     """
-    spark = files.sparkSession
-    stage = Stage(spark, "folders")
-    nodes = stage.write(files.select("node_path", "node_hash", F.size(F.split("node_path", "/")).alias("level")).distinct())
+    stage = Stage(files.sparkSession, "folders")
+    nodes = files.select("node_path", "node_hash", F.size(F.split("node_path", "/")).alias("level")).distinct()
+    nodes = stage.write(nodes.withColumn("top", F.lit(1)) if roots is None else _tops(nodes, roots))
     deepest = nodes.agg(F.max("level")).first()[0]
     if deepest is None:
         return files.select("node_path", "node_hash").limit(0)
-    below = nodes.filter(F.col("level") == deepest).select("node_path", "node_hash")
+    below = nodes.filter(F.col("level") == deepest).select("node_path", "node_hash", "top")
     made = None
     for level in range(deepest - 1, 1, -1):
-        named = below.select(parent(F.col("node_path")).alias("node_path"), base_name(F.col("node_path")).alias("name"), "node_hash").filter(F.col("node_path").isNotNull())
-        folders = _joined_hashes(named.withColumn("piece", F.concat("name", "node_hash")), "node_path", ["name"], "piece", "node_hash")
-        if roots is not None:
-            folders = folders.join(F.broadcast(roots), F.col("node_path").eqNullSafe(F.col("root")) | F.startswith("node_path", F.concat("root", F.lit("/"))), "left_semi")
-        folders = stage.write(folders)
+        named = below.filter(F.col("top") <= level).select(parent(F.col("node_path")).alias("node_path"), base_name(F.col("node_path")).alias("name"), "node_hash", "top").filter(F.col("node_path").isNotNull())
+        named = named.withColumn("key", F.concat_ws("\u0000", F.col("top").cast("string"), "node_path"))  # all children of a folder have one top
+        hashed = _joined_hashes(named.withColumn("piece", F.concat("name", "node_hash")), "key", ["name"], "piece", "node_hash")
+        cut = F.split("key", "\u0000", 2)
+        folders = stage.write(hashed.select(cut[1].alias("node_path"), "node_hash", cut[0].cast("int").alias("top")))
         made = folders if made is None else made.unionByName(folders)
-        below = folders.unionByName(nodes.filter(F.col("level") == level).select("node_path", "node_hash"))
-    return made if made is not None else files.select("node_path", "node_hash").limit(0)
+        below = folders.unionByName(nodes.filter(F.col("level") == level).select("node_path", "node_hash", "top"))
+    return (made if made is not None else nodes.limit(0)).select("node_path", "node_hash")
 
 
 def diff(prev: DataFrame, now: DataFrame, key: list[str], hash_col: str) -> DataFrame:

@@ -12,9 +12,9 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from seamline.operators.vectors import QUERY_BLOCK
+from seamline.operators.vectors import BROADCAST_BYTES, in_blocks, keep_best, ranked
 
 WIDTHS = (2, 3, 4)
 
@@ -159,35 +159,20 @@ class Quantizer:
         scored = rows.select("id", "norm", "codes").mapInPandas(run, f"id {dict(index.dtypes)['id']}, similarity double")
         return scored.orderBy(F.round("similarity", 12).desc(), "id").limit(k)
 
-    def search_many(self, index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-        """(query_id, id, similarity, rank) of the k best of an index for each query (query_id, vector), ties by id.
-
-        Queries go out in blocks of QUERY_BLOCK, which are broadcast; every batch keeps its best k per query, so only these are shuffled.
-        """
-        spark = index.sparkSession
+    def search_many(self, index: DataFrame, queries: DataFrame, k: int, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+        """(query_id, id, similarity, rank) of the k best of an index for each query (query_id, vector), ties by id; queries of another length are left out."""
         asked = queries.select(F.col(queries.columns[0]).alias("query_id"), F.col(queries.columns[1]).alias("v")).filter(F.size("v") == self.dim)
-        schema = f"query_id {dict(queries.dtypes)[queries.columns[0]]}, id {dict(index.dtypes)['id']}, similarity double"
-        scored = None
-        rows = asked.toLocalIterator()
-        while block := [r for _, r in zip(range(QUERY_BLOCK), rows)]:
-            shared = spark.sparkContext.broadcast(([r.query_id for r in block], self.prepare(np.array([r.v for r in block], np.float64))))
-
-            def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-                names, prepared = shared.value
-                for pdf in batches:
-                    if len(pdf):
-                        data = np.frombuffer(b"".join(pdf["codes"]), np.uint8).reshape(len(pdf), -1)
-                        s = self.score(prepared, pdf["norm"].to_numpy(), unpack(data, self.bits, self.dim))
-                        least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
-                        i, j = np.nonzero(s >= least[:, None])
-                        yield pd.DataFrame({"query_id": [names[r] for r in i], "id": pdf["id"].to_numpy()[j], "similarity": s[i, j]})
-
-            part = index.select("id", "norm", "codes").mapInPandas(run, schema)
-            scored = part if scored is None else scored.unionByName(part)
-        if scored is None:
-            scored = spark.createDataFrame([], schema)
-        order = Window.partitionBy("query_id").orderBy(F.round("similarity", 12).desc(), "id")
-        return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+        def score(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+            if not len(q) or not len(r):
+                return pd.DataFrame({"query_id": q["query_id"][:0], "id": r["id"][:0], "similarity": np.zeros(0)})
+            data = np.frombuffer(b"".join(r["codes"]), np.uint8).reshape(len(r), -1)
+            s = self.score(self.prepare(np.array(q["v"].tolist(), np.float64)), r["norm"].to_numpy(), unpack(data, self.bits, self.dim))
+            i, j = keep_best(s, k)
+            return pd.DataFrame({"query_id": q["query_id"].to_numpy()[i], "id": r["id"].to_numpy()[j], "similarity": s[i, j]})
+
+        schema = f"query_id {dict(asked.dtypes)['query_id']}, id {dict(index.dtypes)['id']}, similarity double"
+        return ranked(in_blocks(index.select("id", "norm", "codes"), asked, score, schema, most_bytes), k)
 
 
 def replace_rows(index: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:

@@ -18,21 +18,6 @@ def trimmed(col: Column) -> Column:
     return F.regexp_replace(col, r"^[\s ]+|[\s ]+$", "")
 
 
-def dotted_suffixes(col: Column) -> Column:
-    """The name itself and each part of it that follows a dot: a.b.c, b.c, c."""
-    parts = F.split(col, r"\.", -1)
-    return F.array_distinct(
-        F.transform(
-            F.sequence(F.lit(1), F.size(parts)),
-            lambda i: F.array_join(F.slice(parts, i, F.size(parts) - i + 1), "."),
-        )
-    )
-
-
-#: Names of more characters get only the suffixes some reference is as long as: cutting all of them would square their size.
-LONG_NAME = 4096
-
-
 def suffixes_of_lengths(name: Column, lengths: Column, dotted: bool = True) -> Column:
     """The suffixes of a name that have one of the given lengths; with `dotted` only the whole name and what follows a dot."""
     size = F.length(name)
@@ -59,15 +44,9 @@ def parent_keys(nodes: DataFrame, refs: DataFrame) -> DataFrame:
         .groupBy("cwd", "symbol_name")
         .agg(F.max("alive").alias("alive"), F.min(F.when(F.col("alive"), F.coalesce("indexed_at", always))).alias("alive_from"))
     )
-    name, long = F.col("symbol_name"), F.length("symbol_name") > LONG_NAME
-    columns = [F.col("cwd").alias("scope"), "key", "alive", "alive_from"]
-    if named.filter(long).isEmpty():
-        keys = parents.withColumn("key", F.explode(dotted_suffixes(name))).select(*columns)
-    else:
-        short = parents.filter(~long).withColumn("key", F.explode(dotted_suffixes(name))).select(*columns)
-        cut = parents.filter(long).crossJoin(lengths_of("key", refs))  # one row
-        keys = short.unionByName(cut.withColumn("key", F.explode(suffixes_of_lengths(name, F.col("_lengths")))).select(*columns))
-    return keys.filter(F.col("key") != "")
+    cut = parents.crossJoin(lengths_of("key", refs))  # one row
+    keys = cut.withColumn("key", F.explode(suffixes_of_lengths(F.col("symbol_name"), F.col("_lengths"))))
+    return keys.select(F.col("cwd").alias("scope"), "key", "alive", "alive_from").filter(F.col("key") != "")
 
 
 def orphan_groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:

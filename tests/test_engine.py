@@ -9,7 +9,7 @@ from seamline.engine import Engine
 from seamline.operators.incremental import Ledger
 from seamline.sources import embedding
 from seamline.sources.embedding import HashEmbedder, HttpEmbedder, embed
-from seamline.sources.scan import ignored, scan_tree, text_files, to_json_rows, walk, write_lines
+from seamline.sources.scan import ignored, list_tree, scan_tree, text_files, to_json_rows, walk, write_lines
 from seamline.streaming.sync import consume, event_windows, schedule, sweep
 
 FILES = {
@@ -45,6 +45,8 @@ def test_listing(spark, rows, tmp_path):
     assert found == ["__init__.py", "app/svc.py", "bin.py", "db/db.go", "empty.py", "infra/main.tf", "main.go"]
     got = sorted(os.path.relpath(r.path, os.path.realpath(root)) for r in scan_tree(spark, [root]).collect())
     assert got == ["__init__.py", "app/svc.py", "db/db.go", "infra/main.tf", "main.go"]
+    for spread in (1, 2, 3):  # folders left to the executors
+        assert sorted(r.path for r in list_tree(spark, [root], spread=spread).collect()) == sorted(walk(root))
     assert len(list(walk(os.path.join(root, "notes.txt"), ()))) == 1 and not list(walk(os.path.join(root, "notes.txt"))) and not list(walk(root + "/none"))
     assert ignored("a/b.log", ["*.log"]) and ignored("x/dist/y", ["dist"]) and not ignored("distinct", ["dist"])
     assert text_files(spark, root + "/app").count() == 1

@@ -192,7 +192,10 @@ def test_quantized_search_of_several_blocks(spark, rows, monkeypatch):
     x = RNG.standard_normal((30, 8))
     q = qz.Quantizer(8, 4)
     index, asked = q.quantize(table(spark, x)), table(spark, x)
-    found = lambda: rows(q.search_many(index, asked, 3).select("query_id", "id", "rank"))
+    found = lambda **how: rows(q.search_many(index, asked, 3, **how).select("query_id", "id", "rank"))
     whole = found()
-    monkeypatch.setattr(qz, "QUERY_BLOCK", 7)
-    assert len(whole) == 90 and found() == whole
+    monkeypatch.setattr(vx, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(vx, "ROW_BLOCK", 11)
+    assert len(whole) == 90 and found() == whole and found(most_bytes=0) == whole
+    best = lambda **how: rows(vx.top_k_many(asked, asked.filter("id % 2 = 0"), 4, exclude_self=True, **how).select("query_id", "id", "rank"))
+    assert best(most_bytes=0) == best() and len(best()) == 60 and vx.top_k_many(asked.limit(0), asked, 2, most_bytes=0).count() == 0
