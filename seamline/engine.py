@@ -56,17 +56,21 @@ class Engine:
     def sync(self, root: str) -> dict[str, int]:
         """Bring a codebase up to date and return how many files were added, modified and deleted, and how many failed.
 
-        Only files whose chunks or their lines changed are embedded. Files of which a text can't be embedded keep their old state and
-        are tried again next time. The file state is written last: a run that dies before it is repeated, not lost.
+        Only files whose text changed are chunked, only those whose chunks or their lines changed are embedded. Files of which a text can't be embedded
+        keep their old state and are tried again next time. The file state is written last: a run that dies before it is repeated, not lost.
         """
         codebase = os.path.realpath(root)
         stage = Stage(self.spark, "sync")
         files = stage.write(scan_tree(self.spark, [codebase]).select("path", "text"))
-        pieces = stage.write(chunk_files(files, "path", "text", self.config.max_chunk_bytes, self.config.yaml_compat))
+        settings = F.lit(f"{self.config.max_chunk_bytes} {self.config.yaml_compat}")
+        texts = files.select("path", F.sha2(F.concat_ws("\u001f", settings, "text"), 256).alias("text_hash"))
+        before = self.table("file_state", codebase).select("path", "file_hash", "text_hash")
+        touched = stage.write(texts.join(before.select("path", "text_hash"), ["path", "text_hash"], "left_anti"))
+        pieces = stage.write(chunk_files(files.join(touched, "path", "left_semi"), "path", "text", self.config.max_chunk_bytes, self.config.yaml_compat))
         hashed = pieces.withColumn("h", merkle.chunk_hash(F.col("content"), F.col("start_line"), F.col("end_line")))
         state = merkle.file_hashes(hashed, "path", ["ord"], "h")
-        state = stage.write(files.select("path").join(state, "path", "left").select("path", F.coalesce("file_hash", F.lit(merkle.EMPTY)).alias("file_hash")))
-        before = self.table("file_state", codebase).select("path", "file_hash")
+        state = touched.join(state, "path", "left").select("path", F.coalesce("file_hash", F.lit(merkle.EMPTY)).alias("file_hash"), "text_hash")
+        state = stage.write(state.unionByName(before.join(texts, ["path", "text_hash"], "left_semi")))
         changes = stage.write(merkle.diff(before, state, ["path"], "file_hash"))
         fresh = changes.filter("change_kind <> 'deleted'").select("path")
         new = pieces.join(fresh, "path", "left_semi").withColumn("id", chunk_id(F.col("path"), F.col("start_line"), F.col("end_line"), F.col("content")))
@@ -85,7 +89,7 @@ class Engine:
         vectors = stage.write(quantizer.replace_rows(old_vectors, vectors))
         graph = callgraph.extract_graph(files.join(done.filter("change_kind <> 'deleted'").select("path"), "path", "left_semi"))
         graph = stage.write(callgraph.replace_graph(self.table("graph", codebase).drop("codebase"), graph, gone.withColumnRenamed("path", "file_path")))
-        states = stage.write(before.join(gone, "path", "left_anti").unionByName(state.join(done.filter("change_kind <> 'deleted'").select("path"), "path", "left_semi")))
+        states = stage.write(state.join(failed, "path", "left_anti").unionByName(before.join(failed, "path", "left_semi")))
         for name, rows in (("files", files), ("chunks", chunks), ("vectors", vectors), ("graph", graph)):
             self._replace(name, codebase, rows)
         root_hash = merkle.folder_hashes(states.select(F.col("path").alias("node_path"), F.col("file_hash").alias("node_hash"))).filter(F.col("node_path") == codebase).select("node_hash").collect()

@@ -157,3 +157,18 @@ def test_stream_is_consumed_once(spark, rows, tmp_path):
     q = event_windows(stream(), "1 hour").writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sum(r.n_events for r in spark.sql("SELECT * FROM w").collect()) == 200
+
+
+def test_only_changed_texts_are_chunked(spark, tmp_path, monkeypatch):
+    import seamline.engine as module
+
+    root, seen = str(tmp_path / "r"), []
+    lay(root, FILES)
+    real = module.chunk_files
+    monkeypatch.setattr(module, "chunk_files", lambda df, *a: seen.append(sorted(os.path.basename(r.path) for r in df.select("path").collect())) or real(df, *a))
+    engine = Engine(spark, Config(f"{tmp_path}/store", dim=16))
+    assert engine.sync(root)["added"] == 5
+    lay(root, {"infra/main.tf": FILES["infra/main.tf"] + "\n# outside of all blocks\n", "app/svc.py": FILES["app/svc.py"] + "\ndef more():\n    pass\n"})
+    assert engine.sync(root) == {"added": 0, "modified": 1, "deleted": 0, "failed": 0}
+    assert engine.sync(root) == {"added": 0, "modified": 0, "deleted": 0, "failed": 0}
+    assert len(seen[0]) == 5 and seen[1:] == [["main.tf", "svc.py"], []]
