@@ -35,58 +35,86 @@ def clean_targets(targets: DataFrame) -> DataFrame:
     )
 
 
-def mix(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 0) -> DataFrame:
+def budgets(sums: DataFrame, targets: DataFrame, total_tokens: int | None = None, fit: str = "total") -> DataFrame:
+    """(source, have, target_share, max_repeats, wanted_share, budget) of every source with a target and of none besides; `sums` has (source, have).
+
+    fit="total": shares of `total_tokens` (default: all tokens of the sources that have a target), whether or not a source can reach its own.
+    fit="shares": shares of the largest total, at most `total_tokens`, of which every source that has documents can reach its share. Sources
+    without documents, or that may not be used, can give nothing: the others' shares are taken of what is left, in the same proportions.
+    """
+    if fit not in ("total", "shares"):
+        raise ValueError("fit must be total or shares")
+    joined = clean_targets(targets).join(sums, "source", "left").withColumn("have", F.coalesce("have", F.lit(0)))
+    most = F.col("have") * F.col("max_repeats")
+    usable = most > 0
+    one = joined.agg(F.sum("have").alias("all_tokens"), F.sum(F.when(usable, F.col("target_share"))).alias("present"), F.min(F.when(usable, most / F.col("target_share"))).alias("reach"))
+    wide = joined.crossJoin(F.broadcast(one))  # one row, not a product of rows
+    total = F.lit(total_tokens) if total_tokens is not None else F.col("all_tokens")
+    share = F.col("target_share")
+    if fit == "shares":
+        reach = F.col("reach") * F.col("present")
+        total = F.coalesce(F.least(reach, F.lit(total_tokens)) if total_tokens is not None else reach, F.lit(0))
+        share = F.when(usable, F.col("target_share") / F.col("present")).otherwise(F.lit(0.0))
+    return wide.select("source", "have", "target_share", "max_repeats", share.alias("wanted_share"), F.floor(share * total).cast("long").alias("budget"))
+
+
+def mix(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 0, fit: str = "total") -> DataFrame:
     """(doc_id, source, n_tokens, n_uses): how often each document is used, 0 for unused ones.
 
-    A source's budget is its share of `total_tokens` (default: all tokens of the sources that have a target). It is met
+    A source's budget (see `budgets` for the total it is a share of) is met
     by as many whole passes as fit and max_repeats allows, then by the documents in the order of their random key as
     long as the running total stays within the rest, so it is never exceeded and missed by less than one document
     unless the source is exhausted. Sources without a target, null sources and documents without tokens are not used.
     """
-    wanted = clean_targets(targets)
-    sums = sized.groupBy("source").agg(F.sum("n_tokens").alias("have")).join(wanted, "source")
-    total = F.lit(total_tokens) if total_tokens is not None else F.col("all_tokens")
-    budgets = sums.crossJoin(F.broadcast(sums.agg(F.sum("have").alias("all_tokens")))).select(  # one row, not a product of rows
-        F.col("source").alias("_s"), "have", "max_repeats", F.floor(F.col("target_share") * total).cast("long").alias("budget")
-    )
-    budgets = budgets.withColumn("passes", F.least(F.floor(F.col("budget") / F.greatest("have", F.lit(1))), F.col("max_repeats")).cast("long"))
+    sums = sized.filter(F.col("source").isNotNull()).groupBy("source").agg(F.sum("n_tokens").alias("have"))
+    planned = budgets(sums, targets, total_tokens, fit).select(F.col("source").alias("_s"), "have", "max_repeats", "budget")
+    planned = planned.withColumn("passes", F.least(F.floor(F.col("budget") / F.greatest("have", F.lit(1))), F.col("max_repeats")).cast("long"))
     keyed = sized.withColumn("key", F.xxhash64(F.lit(seed), "doc_id"))
     placed = running_totals(keyed.filter(F.col("n_tokens") > 0), ["source"], [F.col("key"), F.col("doc_id")], "n_tokens")
     rest = F.col("budget") - F.col("passes") * F.col("have")
     one_more = (F.col("passes") < F.col("max_repeats")) & (F.col("before") + F.col("n_tokens") <= rest)
-    used = placed.join(budgets, F.col("source") == F.col("_s"), "left").select(
+    used = placed.join(planned, F.col("source") == F.col("_s"), "left").select(
         "doc_id", "source", "n_tokens", F.coalesce(F.col("passes") + F.when(one_more, 1).otherwise(0), F.lit(0)).cast("int").alias("n_uses")
     )
     return used.unionByName(sized.filter(F.col("n_tokens") <= 0).withColumn("n_uses", F.lit(0)))
 
 
-def shares(mixed: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
+def shares(mixed: DataFrame, targets: DataFrame, total_tokens: int | None = None, fit: str = "total") -> DataFrame:
     """(source, target_share, max_repeats, n_docs, n_used, used_tokens, actual_share, share_of_budget, state) per source with a target or documents.
 
-    actual_share is of the tokens used, share_of_budget of those asked for: they part where some source can't reach its target.
-    state: `met` within one document of the target, `short` where the source is exhausted, `absent` without documents,
-    `no target` for sources not asked for.
+    actual_share is of the tokens used, share_of_budget of the sum of all budgets: they part where some source can't reach its budget.
+    state: `met` if the tokens used are the target share (with fit="shares": the share among the sources present) of all tokens used, but for at most the
+    source's largest document; `short` below that, where the source is exhausted, `under` where it isn't; `over` above it, as others are short; `absent`
+    without documents; `no target` for sources not asked for.
     """
     have = mixed.groupBy("source").agg(
         F.count(F.lit(1)).alias("n_docs"),
         F.sum(F.when(F.col("n_uses") > 0, 1).otherwise(0)).alias("n_used"),
         F.sum(F.col("n_uses") * F.col("n_tokens")).alias("used_tokens"),
         F.sum("n_tokens").alias("have"),
-        F.min(F.when(F.col("n_tokens") > 0, F.col("n_uses"))).alias("least_uses"),
+        F.max("n_tokens").alias("largest"),
+    )
+    planned = budgets(have.filter(F.col("source").isNotNull()).select("source", "have"), targets, total_tokens, fit).select(F.col("source").alias("_s"), "target_share", "max_repeats", "wanted_share", "budget")
+    sources = have.join(planned, F.col("source") == F.col("_s"), "full").withColumn("source", F.coalesce("source", "_s")).withColumn("used_tokens", F.coalesce("used_tokens", F.lit(0)))
+    joined = sources.crossJoin(F.broadcast(sources.agg(F.sum("used_tokens").alias("all_used"), F.sum("budget").alias("all_wanted"))))  # one row
+    off = F.col("used_tokens") - F.col("wanted_share") * F.col("all_used")
+    exhausted = F.col("used_tokens") >= F.col("max_repeats") * F.col("have")
+    state = (
+        F.when(F.col("target_share").isNull(), "no target")
+        .when(F.col("n_docs").isNull(), "absent")
+        .when(F.abs(off) <= F.col("largest"), "met")
+        .when(off > 0, "over")
+        .when(exhausted, "short")
+        .otherwise("under")
     )
-    sources = have.join(clean_targets(targets), "source", "full")
-    wanted = F.lit(total_tokens) if total_tokens is not None else F.sum(F.when(F.col("target_share").isNotNull(), F.col("have")))
-    total = F.broadcast(sources.agg(F.sum("used_tokens").alias("all_used"), F.max(wanted).alias("all_wanted") if total_tokens is not None else wanted.alias("all_wanted")))
-    joined = sources.crossJoin(total)  # one row
-    exhausted = F.col("least_uses") >= F.col("max_repeats")
     return joined.select(
         "source",
         "target_share",
         "max_repeats",
         F.coalesce("n_docs", F.lit(0)).alias("n_docs"),
         F.coalesce("n_used", F.lit(0)).alias("n_used"),
-        F.coalesce("used_tokens", F.lit(0)).alias("used_tokens"),
-        F.round(F.coalesce("used_tokens", F.lit(0)) / F.nullif(F.col("all_used"), F.lit(0)), 6).alias("actual_share"),
-        F.round(F.coalesce("used_tokens", F.lit(0)) / F.nullif(F.col("all_wanted"), F.lit(0)), 6).alias("share_of_budget"),
-        F.when(F.col("target_share").isNull(), "no target").when(F.col("n_docs").isNull(), "absent").when(exhausted, "short").otherwise("met").alias("state"),
+        "used_tokens",
+        F.round(F.col("used_tokens") / F.nullif(F.col("all_used"), F.lit(0)), 6).alias("actual_share"),
+        F.round(F.col("used_tokens") / F.nullif(F.col("all_wanted"), F.lit(0)), 6).alias("share_of_budget"),
+        state.alias("state"),
     )

@@ -106,9 +106,9 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokenizer.encode_corpus(table(spark, sf, "documents"))
 
 
-def _mixed(spark: SparkSession, sf: str) -> DataFrame:
+def _mixed(spark: SparkSession, sf: str, fit: str = "total") -> DataFrame:
     sized = Stage(spark, "sizes").write(mixing.sized_documents(table(spark, sf, "documents")))
-    return mixing.mix(sized, table(spark, sf, "mix_targets"))
+    return mixing.mix(sized, table(spark, sf, "mix_targets"), fit=fit)
 
 
 @query("p9_mix")
@@ -122,6 +122,13 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.shares(mixed, table(spark, sf, "mix_targets"))
 
 
+@query("p9_even_shares")
+def p9_even_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """The shares of the largest mix in which every source with documents reaches its own."""
+    mixed = Stage(spark, "mixed").write(_mixed(spark, sf, "shares"))
+    return mixing.shares(mixed, table(spark, sf, "mix_targets"), fit="shares")
+
+
 @query("p10_found")
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     pairs = lookalikes.lookalike_pairs(lookalikes.visual_classes(table(spark, sf, "documents")))

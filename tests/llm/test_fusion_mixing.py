@@ -1,5 +1,7 @@
 import math
 import random
+
+import pytest
 from datetime import datetime as D
 
 from seamline.llm.fusion import fused, latest_scores, top
@@ -70,10 +72,17 @@ def test_mixing(spark):
     largest = max(r.n_tokens for r in rows.values())
     assert int(0.3 * total) - largest < used["big"] <= int(0.3 * total) and used["unasked"] == used[None] == 0 and rows[3000].n_uses == 0
     report = {r.source: r for r in shares(mix(sized, targets), targets).collect()}
-    assert {s: r.state for s, r in report.items()} == {"big": "met", "small": "short", "absent": "absent", "unasked": "no target", None: "no target"}
+    assert {s: r.state for s, r in report.items()} == {"big": "over", "small": "short", "absent": "absent", "unasked": "no target", None: "no target"}
     assert math.isclose(sum(r.actual_share for r in report.values()), 1, abs_tol=1e-5) and math.isclose(report["big"].actual_share, used["big"] / (used["big"] + used["small"]), abs_tol=1e-6)
     more = {r.source: r.used_tokens for r in shares(mix(sized, targets, total_tokens=10 * total), targets, 10 * total).collect()}
     assert more["big"] == 2 * have["big"]
+    even = {r.source: r for r in shares(mix(sized, targets, fit="shares"), targets, fit="shares").collect()}
+    assert {s: r.state for s, r in even.items()} == {"big": "met", "small": "met", "absent": "absent", "unasked": "no target", None: "no target"}
+    assert even["small"].used_tokens == 3 * have["small"] and abs(even["big"].used_tokens - 3 * have["small"] * 0.3 / 0.5) <= largest
+    less = {r.source: r for r in shares(mix(sized, targets, 100, fit="shares"), targets, 100, fit="shares").collect()}
+    assert less["small"].state == less["big"].state == "met" and less["small"].used_tokens <= 62
+    with pytest.raises(ValueError):
+        mix(sized, targets, fit="some")
     again = {r.doc_id: r.n_uses for r in mix(sized.repartition(3), targets).collect()}
     assert again == {d: r.n_uses for d, r in rows.items()}, "the draw must not depend on the layout"
 
