@@ -103,7 +103,7 @@ class Engine:
     # Queries
 
     def codebases(self) -> DataFrame:
-        return self.table("codebases").orderBy(F.col("updated_at").desc(), "codebase")
+        return merkle.by_update(self.table("codebases"), "codebase").join(self.table("codebases").select("codebase", "root_hash"), "codebase").orderBy(F.col("updated_at").desc_nulls_last(), "codebase")
 
     def grep(self, pattern: str, regex: bool = False, extensions: tuple[str, ...] = INDEXED, cwd: str | None = None) -> DataFrame:
         """(path, line_no, line) of matching lines."""

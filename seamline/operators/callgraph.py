@@ -171,6 +171,13 @@ def resolve(edges: DataFrame, nodes: DataFrame, strict: bool = False, scope: lis
     return calls.join(named.withColumnRenamed("suffix", "callee"), [*by, "callee"]).select(*by, "caller", "callee", "name", "file_path", "start_line", "end_line").distinct()
 
 
+def callers(edges: DataFrame, nodes: DataFrame, strict: bool = False, scope: list[str] | None = None) -> DataFrame:
+    """(scope..., source, name, file_path, start_line, end_line): each node `source` with the nodes `name` that call it, distinct; callers without a node are left out."""
+    by = scope or []
+    calling = resolve(edges, nodes, strict, scope).select(*by, F.col("name").alias("source"), F.col("caller").alias("name")).distinct()
+    return calling.join(nodes.select(*by, "name", "file_path", "start_line", "end_line").distinct(), [*by, "name"]).select(*by, "source", "name", "file_path", "start_line", "end_line")
+
+
 def callees_of(edges: DataFrame, nodes: DataFrame, caller: str, strict: bool = False) -> DataFrame:
     """The distinct nodes a function may call."""
     return resolve(edges.filter(F.col("caller") == caller), nodes, strict).select("name", "file_path", "start_line", "end_line").distinct()
@@ -220,8 +227,7 @@ def call_report(nodes: DataFrame, edges: DataFrame, name: str, direction: str =
         steps = resolved.select(F.col("caller").alias("source"), "name", "file_path", "start_line", "end_line")
         parts.append(call_tree(start, steps, max_depth).withColumn("direction", F.lit("callee")))
     if direction in ("caller", "both"):
-        calling = resolved.select(F.col("name").alias("source"), F.col("caller").alias("name")).distinct().join(nodes.distinct(), "name")
-        steps = calling.select("source", "name", "file_path", "start_line", "end_line")
+        steps = callers(edges, nodes, strict)
         parts.append(call_tree(start, steps, max_depth).withColumn("direction", F.lit("caller")))
     columns = ["direction", "depth", "path", "name", "file_path", "start_line", "end_line"]
     if not parts:

@@ -13,3 +13,9 @@ def recall_and_mrr(ranked: DataFrame, truth: DataFrame, at: tuple[int, ...] = (1
         F.round(F.avg(F.coalesce(F.lit(1.0) / F.col("rank"), F.lit(0.0))), 9).alias("mrr"),
         *[F.round(F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)), 9).alias(f"recall_at_{k}") for k in at],
     )
+
+
+def corpus_totals(chunks: DataFrame) -> DataFrame:
+    """(cwd, n_files, n_chunks, n_lines) of chunks (id, cwd, file_path, content); repeated rows count once, a null content has no lines."""
+    rows = chunks.select("id", "cwd", "file_path", F.when(F.col("content").isNotNull(), F.size(F.split("content", "\n", -1))).alias("n"), F.xxhash64("content").alias("h")).distinct()
+    return rows.groupBy("cwd").agg(F.countDistinct("file_path").alias("n_files"), F.countDistinct("id").alias("n_chunks"), F.sum("n").cast("bigint").alias("n_lines"))

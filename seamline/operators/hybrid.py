@@ -27,6 +27,17 @@ def scope_root(codebases: DataFrame, cwd: str) -> str:
     return best[0].cwd if best else cwd
 
 
+def scope_roots(codebases: DataFrame, paths: DataFrame) -> DataFrame:
+    """(path, codebase): the longest registered codebase (cwd) that is, or lies above, each path; paths below none are left out.
+
+    Every folder above a path is looked up, so it is an equi-join.
+    """
+    parts = F.split("path", "/")
+    known = codebases.select(F.col("cwd").alias("above")).distinct()
+    above = paths.select("path").distinct().select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).alias("above"))
+    return above.join(known, "above").groupBy("path").agg(F.max(F.struct(F.length("above"), "above"))["above"].alias("codebase"))
+
+
 def semantic(memories: DataFrame, query, limit: int, exclude_low: bool = True) -> DataFrame:
     """(id, similarity, rank) of the most similar memories. Similarities below LEAST_SIMILARITY are dropped, after the cut, unless the query is all zero.
 

@@ -97,3 +97,8 @@ def diff(prev: DataFrame, now: DataFrame, key: list[str], hash_col: str) -> Data
 
 def change_counts(changes: DataFrame) -> DataFrame:
     return changes.groupBy("change_kind").agg(F.count(F.lit(1)).alias("n_files"))
+
+
+def by_update(trees: DataFrame, codebase: str = "cwd", at: str = "updated_at") -> DataFrame:
+    """(codebase, updated_at): each codebase with its latest update, the latest first, those without a time last."""
+    return trees.groupBy(codebase).agg(F.max(at).alias(at)).orderBy(F.col(at).desc_nulls_last(), codebase)

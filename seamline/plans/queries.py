@@ -244,8 +244,7 @@ def embedding_text(spark: SparkSession, sf: str) -> DataFrame:
     "SELECT cwd, count(DISTINCT file_path) AS n_files, count(DISTINCT id) AS n_chunks, sum(len(string_split(content, chr(10))))::BIGINT AS n_lines FROM (SELECT DISTINCT id, cwd, file_path, content FROM chunks) GROUP BY cwd",
 )
 def corpus_totals(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "chunks").select("id", "cwd", "file_path", F.when(F.col("content").isNotNull(), F.size(F.split("content", "\n", -1))).alias("n")).distinct()
-    return rows.groupBy("cwd").agg(F.countDistinct("file_path").alias("n_files"), F.countDistinct("id").alias("n_chunks"), F.sum("n").cast("bigint").alias("n_lines"))
+    return evaluation.corpus_totals(table(spark, sf, "chunks"))
 
 
 # Structure
@@ -302,6 +301,28 @@ def callgraph_suffix_join(spark: SparkSession, sf: str) -> DataFrame:
     return callgraph.resolve(edges, nodes, scope=["cwd"])
 
 
+@query("callgraph_callers", f"WITH {_STEPS} SELECT DISTINCT s.cwd, s.name AS source, n.name, n.file_path, n.start_line, n.end_line FROM s JOIN n ON n.cwd = s.cwd AND n.name = s.source")
+def callgraph_callers(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, edges = _graph(spark, sf)
+    return callgraph.callers(edges, nodes, strict=True, scope=["cwd"])
+
+
+@query(
+    "graph_purge",
+    """WITH f AS (SELECT cwd, node_path, arg_max(lower(node_hash), scanned_at) AS h FROM merkle_nodes WHERE node_type = 'file' GROUP BY ALL),
+g AS (SELECT cwd, arg_max(run_id, (started_at, run_id)) AS run_id FROM index_runs WHERE run_state = 'ok' GROUP BY cwd),
+j AS (SELECT cwd, any_value(tree_json) AS tree FROM merkle_trees JOIN g USING (cwd, run_id) GROUP BY cwd),
+o AS (SELECT DISTINCT j.cwd, x.value->>'path' AS node_path, lower(x.value->>'hash') AS h FROM j, json_tree(j.tree) AS x WHERE x.type = 'OBJECT' AND x.value->>'type' = 'file'),
+c AS (SELECT coalesce(f.node_path, o.node_path) AS file_path FROM f FULL JOIN o ON o.cwd = f.cwd AND o.node_path = f.node_path WHERE f.h IS DISTINCT FROM o.h)
+SELECT DISTINCT cwd, symbol_name, file_path, start_line, end_line FROM call_nodes n WHERE file_path IS NULL OR NOT EXISTS (FROM c WHERE c.file_path = n.file_path)""",
+)
+def graph_purge(spark: SparkSession, sf: str) -> DataFrame:
+    """The nodes that stay in the graph when the files changed since the last successful run are taken out of it."""
+    nodes = table(spark, sf, "call_nodes").select("cwd", "symbol_name", "file_path", "start_line", "end_line").distinct()
+    changed = incremental.pending_changes(*(table(spark, sf, t) for t in ("merkle_nodes", "merkle_trees", "index_runs"))).select(F.col("node_path").alias("file_path"))
+    return callgraph.replace_graph(nodes, nodes.limit(0), changed)
+
+
 @query(
     "call_tree_recursive",
     f"""WITH RECURSIVE {_STEPS},
@@ -372,7 +393,7 @@ def merkle_diff_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("codebases_by_update", "SELECT cwd, max(updated_at) AS updated_at FROM merkle_trees GROUP BY cwd")
 def codebases_by_update(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "merkle_trees").groupBy("cwd").agg(F.max("updated_at").alias("updated_at")).orderBy(F.col("updated_at").desc_nulls_last(), "cwd")
+    return merkle.by_update(table(spark, sf, "merkle_trees"))
 
 
 @query(
@@ -382,11 +403,7 @@ SELECT f.path, arg_max(c.cwd, length(c.cwd)) AS codebase FROM f JOIN c ON f.path
 )
 def scope_resolve(spark: SparkSession, sf: str) -> DataFrame:
     """The longest registered codebase above each file: every folder above it is looked up, so it is an equi-join."""
-    codebases = table(spark, sf, "merkle_nodes").select(F.col("cwd").alias("above")).distinct()
-    files = table(spark, sf, "memory_items").filter("cwd IS NOT NULL").select(F.col("cwd").alias("path")).distinct()
-    parts = F.split("path", "/")
-    above = files.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).alias("above"))
-    return above.join(codebases, "above").groupBy("path").agg(F.max(F.struct(F.length("above"), "above"))["above"].alias("codebase"))
+    return hybrid.scope_roots(table(spark, sf, "merkle_nodes"), table(spark, sf, "memory_items").filter("cwd IS NOT NULL").select(F.col("cwd").alias("path")))
 
 
 # Vectors
@@ -446,6 +463,36 @@ def quantized_footprint(spark: SparkSession, sf: str) -> DataFrame:
     return quantizer.footprint(quantizer.Quantizer(64, 4).quantize(table(spark, sf, "embeddings"), "vec_id"))
 
 
+@query(
+    "vector_casts",
+    """WITH h AS (SELECT doc_id, octet_length(encode(text)) AS n, hex(encode(text)) AS digits FROM documents WHERE text <> '')
+SELECT doc_id, n AS n_numbers, list_sum(list_transform(string_split_regex(regexp_replace(digits, '(..)', '\\1,', 'g')[:-2], ','), lambda x: ('0x' || x)::INTEGER))::BIGINT AS total, true AS same FROM h""",
+)
+def vector_casts(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts as vectors of their bytes and back."""
+    rows = table(spark, sf, "documents").filter("text <> ''").withColumn("v", vectors.text_to_floats(F.col("text")))
+    total = F.aggregate(vectors.to_ints(F.col("v")), F.lit(0).cast("bigint"), lambda s, x: s + x).alias("total")
+    return rows.select("doc_id", F.size("v").cast("bigint").alias("n_numbers"), total, (vectors.floats_to_text(F.col("v")) == F.col("text")).alias("same"))
+
+
+@query("quantized_round_trip", "SELECT vec_id AS id, 36::BIGINT AS n_bytes, true AS same FROM embeddings")
+def quantized_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Codes packed into records and read back: four bytes of norm and four bits a number, nothing lost."""
+    index = quantizer.Quantizer(64, 4).quantize(table(spark, sf, "embeddings"), "vec_id")
+    back = quantizer.deserialize(quantizer.serialize(index), 64, 4).select("id", F.col("norm").alias("n2"), F.col("codes").alias("c2"))
+    return index.join(back, "id").select("id", (F.length("c2") + 4).cast("bigint").alias("n_bytes"), ((F.col("norm") == F.col("n2")) & (F.col("codes") == F.col("c2"))).alias("same"))
+
+
+@query("quantized_accuracy", "SELECT vec_id AS id, true AS close FROM embeddings")
+def quantized_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether each vector decoded from its four-bit codes has a cosine of 0.95 and more with the vector itself, and its length."""
+    rows, q = table(spark, sf, "embeddings"), quantizer.Quantizer(64, 4)
+    back = q.dequantize(q.quantize(rows, "vec_id")).select("id", F.col("embedding").alias("made"))
+    both = rows.join(back, F.col("vec_id") == F.col("id"))
+    size = F.abs(vectors.norm(F.col("made")) / vectors.norm(F.col("embedding")) - 1) < 0.05
+    return both.select("id", ((vectors.cosine(F.col("embedding"), F.col("made")) >= 0.95) & size).alias("close"))
+
+
 @query("index_compact", "SELECT DISTINCT m.id FROM memory_items m WHERE m.id IN (SELECT id FROM chunks WHERE content IS NOT NULL)")
 def index_compact(spark: SparkSession, sf: str) -> DataFrame:
     return quantizer.compact(table(spark, sf, "memory_items").select("id"), table(spark, sf, "chunks").filter("content IS NOT NULL")).distinct()
@@ -477,14 +524,26 @@ def rrf_hybrid(spark: SparkSession, sf: str) -> DataFrame:
     return hybrid.reciprocal_ranks(ranks("a"), ranks("b")).select("id.query_id", "id.id", F.round("rrf", 9).alias("rrf"))
 
 
-@query("hybrid_search")
+@query(
+    "hybrid_search",
+    """WITH m AS (SELECT id, any_value(symbol_name) AS symbol_name, any_value(cwd) AS path, any_value(line_start) AS line_start, any_value(line_end) AS line_end, any_value(embedding) AS embedding FROM memory_items WHERE len(embedding) = 64 GROUP BY id),
+q AS (SELECT embedding FROM m ORDER BY id LIMIT 1),
+s AS (SELECT id, list_cosine_similarity(m.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS x FROM m, q WHERE NOT list_bool_or(list_transform(m.embedding, lambda v: isnan(v))) AND list_sum(list_transform(m.embedding, lambda v: abs(v))) > 0),
+a AS (SELECT id, row_number() OVER (ORDER BY x DESC, id) AS rank FROM (FROM s ORDER BY x DESC, id LIMIT 30) WHERE x >= 0.1),
+f AS (SELECT DISTINCT file_path, content, start_line FROM chunks WHERE content <> '' AND lower(regexp_extract(file_path, '(\\.[^./]*)$', 1)) IN ('.go', '.py', '.tf', '.yaml', '.yml')),
+l AS (SELECT file_path, coalesce(start_line, 1) + unnest(range(0, len(string_split(content, chr(10))))) AS line_no, unnest(string_split(content, chr(10))) AS line FROM f),
+h AS (SELECT DISTINCT m.id, m.path, m.line_start, m.line_end FROM m JOIN l ON l.file_path = m.path AND l.line_no BETWEEN m.line_start AND m.line_end WHERE contains(l.line, 'prune') OR contains(l.line, 'merge')),
+b AS (SELECT id, row_number() OVER (ORDER BY path, line_start, line_end, id) AS rank FROM (FROM h ORDER BY path, line_start, line_end, id LIMIT 30)),
+r AS (SELECT id, sum(1.0::DOUBLE / (60 + rank)) AS rrf FROM (FROM a UNION ALL FROM b) GROUP BY id ORDER BY round(sum(1.0::DOUBLE / (60 + rank)), 12) DESC, id LIMIT 10)
+SELECT id, round(rrf, 12) AS rrf, symbol_name, path, line_start, line_end FROM r JOIN m USING (id)""",
+)
 def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     """The ten best chunks for a text and the vector of the first usable memory."""
     items = table(spark, sf, "memory_items").filter("size(embedding) = 64").dropDuplicates(["id"])
     memories = items.select("id", "symbol_name", F.col("cwd").alias("path"), "line_start", "line_end", "embedding")
     files = table(spark, sf, "chunks").filter("content IS NOT NULL").select(F.col("file_path").alias("path"), F.col("content").alias("text"), "start_line")
     vector = memories.orderBy("id").select("embedding").first()[0]
-    return hybrid.search(memories, files, "prune merge", vector, 10, first_line="start_line")
+    return hybrid.search(memories, files, "prune merge", vector, 10, first_line="start_line").withColumn("rrf", F.round("rrf", 12))
 
 
 @query(
