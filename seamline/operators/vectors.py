@@ -123,9 +123,8 @@ def to_ints(v: Column) -> Column:
 
 def bytes_to_floats(v: Column) -> Column:
     """Each byte of a binary as a number of 0 to 255."""
-    digits = F.hex(v)
-    places = F.when(F.length(v) > 0, F.sequence(F.lit(0), F.length(v) - 1)).when(v.isNotNull(), F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.conv(F.substring(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("float"))
+    pairs = F.regexp_extract_all(F.hex(v), F.lit(".."), 0)
+    return F.transform(pairs, lambda x: F.conv(x, 16, 10).cast("float"))
 
 
 def floats_to_bytes(v: Column) -> Column:

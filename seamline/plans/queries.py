@@ -485,12 +485,12 @@ def quantized_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("quantized_accuracy", "SELECT vec_id AS id, true AS close FROM embeddings")
 def quantized_accuracy(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether each vector decoded from its four-bit codes has a cosine of 0.95 and more with the vector itself, and its length."""
+    """Whether each vector decoded from its four-bit codes has a cosine of 0.98 and more with the vector itself, and its length within a tenth."""
     rows, q = table(spark, sf, "embeddings"), quantizer.Quantizer(64, 4)
     back = q.dequantize(q.quantize(rows, "vec_id")).select("id", F.col("embedding").alias("made"))
     both = rows.join(back, F.col("vec_id") == F.col("id"))
-    size = F.abs(vectors.norm(F.col("made")) / vectors.norm(F.col("embedding")) - 1) < 0.05
-    return both.select("id", ((vectors.cosine(F.col("embedding"), F.col("made")) >= 0.95) & size).alias("close"))
+    size = F.abs(vectors.norm(F.col("made")) / vectors.norm(F.col("embedding")) - 1) < 0.1
+    return both.select("id", ((vectors.cosine(F.col("embedding"), F.col("made")) >= 0.98) & size).alias("close"))
 
 
 @query("index_compact", "SELECT DISTINCT m.id FROM memory_items m WHERE m.id IN (SELECT id FROM chunks WHERE content IS NOT NULL)")
