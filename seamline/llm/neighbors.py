@@ -22,6 +22,8 @@ from seamline.session import Stage
 
 #: Pivots: at least so many, about so many times the root of the number of vectors, at most so many (a documented sample).
 LEAST_PIVOTS, PIVOTS_PER_ROOT, MOST_PIVOTS = 16, 2, 65_536
+#: Most bytes of pivots that go to the driver and out to the executors: of long vectors there are fewer pivots, and so larger cells.
+PIVOT_BYTES = 64 << 20
 #: Cells each query looks into; standard deviations of the estimate's error that are allowed for; rows of a cell compared at a time.
 PROBES, EPSILON, BLOCK = 8, 3.0, 2048
 SEED = 42
@@ -33,6 +35,12 @@ def rotation(dim: int, bits: int | None = None, seed: int = SEED) -> np.ndarray:
     return (q * np.sign(np.diag(r))).astype(np.float32)
 
 
+def _records(rows: np.ndarray) -> list[bytes]:
+    """The rows of a matrix as bytes."""
+    rows = np.ascontiguousarray(rows)
+    return rows.view(f"V{rows.dtype.itemsize * rows.shape[1]}").ravel().tolist()
+
+
 def code_bits(dim: int) -> int:
     """Bits of a code: twice the dimension, in whole words."""
     return -(-2 * dim // 64) * 64
@@ -126,8 +134,8 @@ def similar_vectors(
     kind = dict(all_ids.dtypes)["id"]
     if not n:
         return spark.createDataFrame([], f"id {kind}, other {kind}, similarity double")
-    wanted = min(n, max(LEAST_PIVOTS, min(MOST_PIVOTS, int(PIVOTS_PER_ROOT * n**0.5))))
-    # Keys are hashes, so the smallest are a random sample, bounded by MOST_PIVOTS.
+    wanted = min(n, max(LEAST_PIVOTS, min(MOST_PIVOTS, PIVOT_BYTES // (4 * dim), int(PIVOTS_PER_ROOT * n**0.5))))
+    # Keys are hashes, so the smallest are a random sample, bounded by MOST_PIVOTS and PIVOT_BYTES.
     pivots = _matrix(entries.orderBy("key").limit(wanted).select("vec").toPandas()["vec"], dim)
     probes = min(probes, len(pivots))
     shared = spark.sparkContext.broadcast(pivots)
@@ -149,7 +157,7 @@ def similar_vectors(
                 own = np.abs(rest).sum(1) / np.sqrt(bits) / np.maximum(length, 1e-12)
                 codes = pack(rest > 0)
                 yield pd.DataFrame({
-                    "cell": home.astype(np.int32), "key": part["key"], "code": [c.tobytes() for c in codes], "own": np.where(length > 1e-6, own, 1.0).astype(np.float32),
+                    "cell": home.astype(np.int32), "key": part["key"], "code": _records(codes), "own": np.where(length > 1e-6, own, 1.0).astype(np.float32),
                     "length": length.astype(np.float32), "low": np.float32(0), "step": np.float32(0), "is_query": False,
                 })
                 asked = part["asked"].to_numpy()
@@ -158,7 +166,7 @@ def similar_vectors(
                 best, near, keys = best[asked], near[asked], part["key"].to_numpy()[asked]
                 levels, low, step = rounded(x[asked] @ turn.T)
                 yield pd.DataFrame({
-                    "cell": best.ravel().astype(np.int32), "key": np.repeat(keys, probes), "code": [b for v in levels for b in [v.tobytes()] * probes], "own": np.float32(0),
+                    "cell": best.ravel().astype(np.int32), "key": np.repeat(keys, probes), "code": np.repeat(np.array(_records(levels), object), probes), "own": np.float32(0),
                     "length": near[np.arange(len(best))[:, None], best].ravel(), "low": np.repeat(low, probes).astype(np.float32), "step": np.repeat(step, probes).astype(np.float32), "is_query": True,
                 })
 

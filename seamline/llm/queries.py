@@ -67,7 +67,11 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return neighbors.similar_pairs(found).select("id_a", "id_b")
 
 
-@query("p4_nearest")
+@query(
+    "p4_nearest",
+    """WITH s AS (SELECT q.vec_id, e.vec_id AS other_id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS x FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0 AND q.vec_id <> e.vec_id)
+SELECT vec_id, other_id, round(x, 4) AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(x, 12) DESC, other_id) <= 10""",
+)
 def p4_nearest(spark: SparkSession, sf: str) -> DataFrame:
     """The ten most similar of every vector whose id is divisible by 20, among all vectors: every cell is looked into."""
     vectors = table(spark, sf, "embeddings")
