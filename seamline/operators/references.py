@@ -8,6 +8,8 @@ read again for their row-level answer.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 STATES = ("missing", "deleted", "late")
@@ -124,3 +126,36 @@ def orphan_report(unresolved: DataFrame, child: str = "call_edges", parent: str
         .agg(F.count(F.lit(1)).alias("n_refs"))
         .select(F.lit(child).alias("child_table"), F.lit(parent).alias("parent_table"), "month", "ref_state", "n_refs")
     )
+
+
+class Relation(NamedTuple):
+    """Rows of table `child` that refer by column `key` to table `parent`, at the time in column `at`."""
+
+    child: str
+    rows: DataFrame
+    key: str
+    parent: str
+    at: str | None = None
+
+
+def dangling_references(parents: dict[str, tuple[DataFrame, str]], relations: list[Relation]) -> DataFrame:
+    """(child_table, parent_table, month, n_refs, n_keys) of references to keys that the parent table (rows, key column) doesn't hold, for any set of tables.
+
+    Parent and child keys form one long table of tagged rows. It is grouped by parent table, key, child table and month, so a key that a third of all rows
+    refer to is one row per map task; groups of a parent table and key without a parent's flag are kept and their counts summed up by period. Keys are compared
+    as text; null and empty ones are no references; a reference without a time has a null month. Every row counts: repeated rows are to be left out before.
+    """
+    none = F.lit(None).cast("string")
+    parts = [
+        rows.select(F.lit(name).alias("parent_table"), F.col(key).cast("string").alias("key"), none.alias("child_table"), none.alias("month"), F.lit(0).cast("bigint").alias("n")) for name, (rows, key) in parents.items()
+    ]
+    parts += [
+        r.rows.select(F.lit(r.parent).alias("parent_table"), F.col(r.key).cast("string").alias("key"), F.lit(r.child).alias("child_table"), (F.date_format(r.at, "yyyy-MM") if r.at else none).alias("month"), F.lit(1).cast("bigint").alias("n"))
+        for r in relations
+    ]
+    tagged = parts[0]
+    for part in parts[1:]:
+        tagged = tagged.unionByName(part)
+    counted = tagged.filter(F.col("key") != "").groupBy("parent_table", "key", "child_table", "month").agg(F.sum("n").alias("n"))
+    lone = counted.groupBy("parent_table", "key").agg(F.max(F.col("child_table").isNull()).alias("known")).filter(~F.col("known")).select("parent_table", "key")
+    return counted.join(lone, ["parent_table", "key"], "left_semi").groupBy("child_table", "parent_table", "month").agg(F.sum("n").alias("n_refs"), F.count(F.lit(1)).alias("n_keys"))

@@ -108,6 +108,22 @@ def p6_report(spark: SparkSession, sf: str) -> DataFrame:
     return references.orphan_report(references.unresolved_references(table(spark, sf, "call_nodes"), table(spark, sf, "call_edges")))
 
 
+_PAIRS = (("search_candidates", "id", "memory_items", "id", "scored_at"), ("memory_items", "id", "chunks", "id", "created_at"), ("call_tree", "caller", "call_nodes", "symbol_name", "reported_at"), ("lineitem", "l_orderkey", "orders", "o_orderkey", "l_shipdate"), ("orders", "o_custkey", "customer", "c_custkey", "o_orderdate"))
+
+
+@query(
+    "p6_tables",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS child_table, '{p}' AS parent_table, strftime({at}, '%Y-%m') AS month, count(*) AS n_refs, count(DISTINCT {k}) AS n_keys FROM (SELECT DISTINCT * FROM {c}) WHERE {k}::VARCHAR <> '' AND {k} NOT IN (SELECT {pk} FROM {p} WHERE {pk} IS NOT NULL) GROUP BY ALL"
+        for c, k, p, pk, at in _PAIRS
+    ),
+)
+def p6_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """References between tables that point to no row, per pair of tables and month."""
+    parents = {p: (table(spark, sf, p), pk) for _, _, p, pk, _ in _PAIRS}
+    return references.dangling_references(parents, [references.Relation(c, table(spark, sf, c).distinct(), k, p, at) for c, k, p, _, at in _PAIRS])
+
+
 @query(
     "p7_found",
     """WITH f AS (SELECT cwd, node_path, arg_max(lower(node_hash), scanned_at) AS h FROM merkle_nodes WHERE node_type = 'file' GROUP BY ALL),

@@ -40,3 +40,16 @@ def test_hot_callee(spark):
     nodes = spark.createDataFrame([("a", f"f{i}", T1, None, 1) for i in range(100)], NODES)
     got = unresolved_references(nodes, edges)
     assert got.count() == 6667 and got.filter("ref_state <> 'missing'").count() == 0
+
+
+def test_dangling_references_of_any_tables(spark, rows):
+    from seamline.operators.references import Relation, dangling_references
+
+    a = spark.createDataFrame([(1, "x"), (2, "x"), (2, "x"), (None, "y")], "a_id int, month string")
+    b = spark.createDataFrame([("p",), ("",)], "name string")
+    uses = spark.createDataFrame([(1, "2024-01-05"), (3, "2024-01-06"), (3, "2024-02-06"), (3, "2024-02-07"), (4, None), (None, "2024-01-01")], "ref bigint, at string").selectExpr("ref", "cast(at AS timestamp) AS at", "'k' AS key")
+    names = spark.createDataFrame([("p",), ("q",), ("",), (None,)] + [("hot",)] * 500, "n string")
+    parents = {"a": (a, "a_id"), "b": (b, "name")}
+    got = dangling_references(parents, [Relation("uses", uses, "ref", "a", "at"), Relation("names", names, "n", "b")])
+    assert rows(got) == sorted([("uses", "a", "2024-01", 1, 1), ("uses", "a", "2024-02", 2, 1), ("uses", "a", None, 1, 1), ("names", "b", None, 501, 2)], key=repr)
+    assert dangling_references({k: (d.limit(0), c) for k, (d, c) in parents.items()}, [Relation("uses", uses.limit(0), "ref", "a", "at")]).count() == 0
