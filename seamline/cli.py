@@ -7,6 +7,7 @@ import os
 
 from seamline.config import Config
 from seamline.engine import Engine
+from seamline.operators.lines import first_hits, grep_output
 from seamline.session import make_session
 from seamline.sources.scan import to_json_rows
 
@@ -24,6 +25,8 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("-e", "--regex", action="store_true")
     p.add_argument("--ext", default="")
     p.add_argument("--cwd")
+    p.add_argument("--no-filename", action="store_true")
+    p.add_argument("-m", "--limit", type=int, default=None)
     p = sub.add_parser("search")
     p.add_argument("text")
     p.add_argument("-n", type=int, default=None)
@@ -42,8 +45,9 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     if a.command == "grep":
         rows = engine.grep(a.pattern, a.regex, tuple(x for x in a.ext.split(",") if x), a.cwd)
-        for r in rows.toLocalIterator():
-            print(f"{r.path}:{r.line_no}:{r.line}")
+        rows = rows if a.limit is None else first_hits(rows, "path", a.limit)
+        for r in grep_output(rows, "path", names=not a.no_filename).toLocalIterator():
+            print(r.value)
         return 0
     rows = {"search": lambda: engine.search(a.text, a.cwd, a.n), "calls": lambda: engine.call_graph(a.symbol, a.cwd, a.direction, a.depth), "codebases": engine.codebases}[a.command]()
     for r in to_json_rows(rows).toLocalIterator():

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -53,12 +54,14 @@ class Engine:
 
     # Indexing
 
-    def sync(self, root: str) -> dict[str, int]:
+    def sync(self, root: str, progress: Callable[[str, int], None] | None = None) -> dict[str, int]:
         """Bring a codebase up to date and return how many files were added, modified and deleted, and how many failed.
 
         Only files whose text changed are chunked, only those whose chunks or their lines changed are embedded. Files of which a text can't be embedded
         keep their old state and are tried again next time. The file state is written last: a run that dies before it is repeated, not lost.
+        `progress` is told how many files were read, changed and failed and how many chunks were embedded, as each becomes known.
         """
+        tell = progress or (lambda *_: None)
         codebase = os.path.realpath(root)
         stage = Stage(self.spark, "sync")
         files = stage.write(scan_tree(self.spark, [codebase]).select("path", "text"))
@@ -72,12 +75,18 @@ class Engine:
         state = touched.join(state, "path", "left").select("path", F.coalesce("file_hash", F.lit(merkle.EMPTY)).alias("file_hash"), "text_hash")
         state = stage.write(state.unionByName(before.join(texts, ["path", "text_hash"], "left_semi")))
         changes = stage.write(merkle.diff(before, state, ["path"], "file_hash"))
+        if progress:
+            tell("files", files.count())
+            tell("changes", changes.count())
         fresh = changes.filter("change_kind <> 'deleted'").select("path")
         new = pieces.join(fresh, "path", "left_semi").withColumn("id", chunk_id(F.col("path"), F.col("start_line"), F.col("end_line"), F.col("content")))
         new = stage.write(new.dropDuplicates(["id"]))
         text = embedding_text(relative_to(F.col("path"), F.lit(codebase)), F.col("start_line"), F.col("end_line"), F.col("content"))
         made = stage.write(embed(new.select("id", text.alias("text")), self.embedder))
         failed = stage.write(new.join(made.filter("embedding IS NULL").select("id"), "id", "left_semi").select("path").distinct())
+        if progress:
+            tell("embedded", made.filter("embedding IS NOT NULL").count())
+            tell("failed", failed.count())
         done = stage.write(changes.join(failed, "path", "left_anti"))
         gone = done.select("path")
         new = new.join(failed, "path", "left_anti")

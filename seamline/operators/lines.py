@@ -70,9 +70,17 @@ def with_context(df: DataFrame, key: list[str], option: SearchOption, before: in
     return marked.withColumn("_near", F.max("is_match").over(near)).filter("_near").drop("_near")
 
 
-def grep_output(hits: DataFrame, path: str) -> DataFrame:
-    """(value): path:line:text of every hit."""
-    return hits.select(F.concat_ws(":", F.col(path), F.col("line_no").cast("string"), F.col("line")).alias("value"))
+def grep_output(hits: DataFrame, path: str, names: bool = True, numbers: bool = True) -> DataFrame:
+    """(value): path:line:text of every hit; without `names` or `numbers` that part is left out."""
+    parts = [F.col(path)] * names + [F.col("line_no").cast("string")] * numbers + [F.col("line")]
+    return hits.select(F.concat_ws(":", *parts).alias("value"))
+
+
+def first_hits(hits: DataFrame, path: str, limit: int) -> DataFrame:
+    """The first `limit` hits by path and line: each task keeps no more than that."""
+    if limit < 0:
+        raise ValueError("limit must not be negative")
+    return hits.orderBy(path, "line_no").limit(limit)
 
 
 def hits_to_chunks(hits: DataFrame, chunks: DataFrame, path: str = "path", start: str = "line_start", end: str = "line_end", block: int = 256) -> DataFrame:

@@ -167,7 +167,9 @@ def test_only_changed_texts_are_chunked(spark, tmp_path, monkeypatch):
     real = module.chunk_files
     monkeypatch.setattr(module, "chunk_files", lambda df, *a: seen.append(sorted(os.path.basename(r.path) for r in df.select("path").collect())) or real(df, *a))
     engine = Engine(spark, Config(f"{tmp_path}/store", dim=16))
-    assert engine.sync(root)["added"] == 5
+    told = {}
+    assert engine.sync(root, told.__setitem__)["added"] == 5
+    assert told == {"files": 5, "changes": 5, "embedded": engine.table("chunks").count(), "failed": 0}
     lay(root, {"infra/main.tf": FILES["infra/main.tf"] + "\n# outside of all blocks\n", "app/svc.py": FILES["app/svc.py"] + "\ndef more():\n    pass\n"})
     assert engine.sync(root) == {"added": 0, "modified": 1, "deleted": 0, "failed": 0}
     assert engine.sync(root) == {"added": 0, "modified": 0, "deleted": 0, "failed": 0}

@@ -33,3 +33,11 @@ def test_diff(spark, rows):
     assert rows(merkle.change_counts(made)) == [("added", 1), ("deleted", 1), ("modified", 1)]
     assert merkle.diff(a, a, ["codebase", "path"], "h").count() == 0
     assert merkle.diff(a.limit(0), b, ["codebase", "path"], "h").filter("change_kind <> 'added'").count() == 0
+
+
+def test_no_folder_is_compared_with_all_roots(spark):
+    files = spark.createDataFrame([("/r/d/x", "1"), ("/q/y", "2")], "node_path string, node_hash string")
+    made = merkle.folder_hashes(files, spark.createDataFrame([("/r",)], "root string"))
+    assert {r.node_path for r in made.collect()} == {"/r/d", "/r"}
+    plan = merkle._tops(files, spark.createDataFrame([("/r",)], "root string"))._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
