@@ -250,8 +250,9 @@ def chunk_facts(chunks: DataFrame, name: str = "byte_bpe_50k", folder: str = VOC
     rows = chunks.filter(F.col("file_path").isNotNull()).select("cwd", "file_path", "start_line", F.col("created_at").cast("timestamp").alias("dated"), text.alias("content"), F.regexp_extract(text, _SQL_OPENING, 0).alias("head"), F.regexp_replace(text, _SQL_COMMENT, "").alias("bare"))
     rows = rows.withColumn("size", F.length(F.regexp_replace("bare", r"\s+", "")))
     letters = F.length(F.regexp_replace(F.regexp_replace("bare", _SQL_LITERAL, ""), "[^A-Za-z]+", ""))
+    n_lines = F.length("bare") - F.length(F.replace("bare", F.lit("\n"))) + 1
     odd = (F.col("size") > 0) & ((letters <= 0.5 * F.col("size")) | F.col("bare").rlike(_SQL_LONG) | F.col("bare").rlike(_SQL_BLOB))
-    rows = rows.select("cwd", "file_path", "start_line", "dated", F.when(odd, F.col("content")).alias("content"), F.when(F.col("head").rlike(_SQL_CUE), F.col("head")).alias("head"), "size", F.regexp_count("bare", F.lit(r"\S[^\n]*+")).alias("n_lines"))
+    rows = rows.select("cwd", "file_path", "start_line", "dated", F.when(odd, F.col("content")).alias("content"), F.when(F.col("head").rlike(_SQL_CUE), F.col("head")).alias("head"), "size", n_lines.alias("n_lines"))
     return rows.mapInArrow(measure, "cwd string, file_path string, start_line int, dated timestamp, says string, " + ", ".join(f"{c} long" for c in names[5:]))
 
 
@@ -289,11 +290,15 @@ def line_index(chunks: DataFrame) -> DataFrame:
 
     Lines of fewer than 12 characters or 8 letters and digits say nothing about origin and are left out.
     """
+    uneven = F.contains("line", F.lit("  "))
+    for blank in "\t\r\f\x0b":
+        uneven = uneven | F.contains("line", F.lit(blank))
     return (
         chunks.filter(F.col("content").isNotNull() & F.col("file_path").isNotNull())
         .select("cwd", "file_path", F.explode(F.split("content", "\n")).alias("line"))
         .filter((F.length("line") >= 12) & F.col("line").rlike(r"\A(?:[^\p{L}\p{N}]*+[\p{L}\p{N}]){8}"))
-        .withColumn("line", F.trim(F.regexp_replace("line", r"\s+", " ")))
+        .withColumn("line", F.btrim("line", F.lit(" \t\r\f\x0b")))
+        .withColumn("line", F.when(uneven, F.regexp_replace("line", r"\s+", " ")).otherwise(F.col("line")))
         .filter(F.length("line") >= 12)
         .select("cwd", "file_path", F.xxhash64("line").alias("line_hash"))
     )
