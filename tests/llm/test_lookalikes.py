@@ -1,6 +1,11 @@
 import random
 import unicodedata
+from types import SimpleNamespace
 
+import pytest
+from py4j.java_gateway import JavaClass
+
+from seamline.llm import lookalikes
 from seamline.llm.lookalikes import lookalike_pairs, mapping, visual_classes, visual_forms
 
 SCHEMA = "doc_id bigint, text string, form string, run string"
@@ -57,3 +62,41 @@ def test_long_runs_are_cut_without_a_trace(spark):
     got = forms(spark, *texts)
     no_joiner = lambda x: x.replace("\u200d", "")
     assert [no_joiner(unicodedata.normalize("NFC", no_joiner(g))) for g in got] == [unicodedata.normalize("NFC", no_joiner(w)) for w in want]
+
+
+class Jvm:
+    """The JVM of a session, but for the Unicode library."""
+
+    def __init__(self, jvm, library):
+        self.jvm, self.library = jvm, library
+
+    def __getattr__(self, name):
+        return self.library(name) if name.startswith("com.ibm.icu.") else getattr(self.jvm, name)
+
+
+class Short(JavaClass):
+    """A library whose answer lacks the last letter."""
+
+    def __init__(self):
+        pass
+
+    def __call__(self):
+        return SimpleNamespace(build=lambda: SimpleNamespace(getSkeleton=lambda kind, text: text.rpartition("\n")[0]))
+
+
+def test_without_the_public_data_there_is_no_result(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "Ꭺpple"), (2, "Apple")], "doc_id bigint, text string")
+    pairs = lambda: [tuple(r) for r in lookalike_pairs(visual_classes(df)).collect()]
+    jvm = spark._jvm
+
+    def broken(name):
+        raise ConnectionError("broken")
+
+    libraries = [(lambda name: getattr(jvm, "missing." + name), RuntimeError, "icu4j"), (lambda name: Short(), RuntimeError, "skeletons for"), (broken, ConnectionError, "broken")]
+    lookalikes._skeletons.cache_clear()
+    for library, error, message in libraries:
+        with monkeypatch.context() as m:
+            m.setattr(spark, "_jvm", Jvm(jvm, library))
+            with pytest.raises(error, match=message):
+                pairs()
+    assert pairs() == [(1, 2)]  # a failure is not remembered
